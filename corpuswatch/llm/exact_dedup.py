@@ -49,7 +49,7 @@ def exact_dedup(
     hashed = written(hashed, "exact-hashed")
     key = ["_len", "_head", "_full"]
     groups = hashed.where("_full is not null").groupBy(*key).agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n"))
-    groups = groups.where("_n > 1")
+    groups = written(groups.where("_n > 1"), "exact-groups")  # so that the join deals rows anew and can split a large group
     found = hashed.join(groups, key, "left")
     return found.select(
         F.col("_id").alias(id_col),

@@ -110,6 +110,20 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int, floor: float, ridge: float)
     return out
 
 
+def _pair_tree(g: np.ndarray, h: np.ndarray, floor: float, ridge: float) -> np.ndarray:
+    """Values over a grid of a tree of depth two: the cut of the rows for which the best cuts of the columns on its two sides gain most."""
+    sides = [(np.cumsum(m, axis=0)[:-1], m.sum(0) - np.cumsum(m, axis=0)[:-1]) for m in (g, h)]
+    best, out = 1e-9, np.zeros_like(g)
+    halves = [(sides[0][k], sides[1][k]) for k in (0, 1)]
+    for cut in range(len(g) - 1):
+        values = [_tree(gs[cut], hs[cut], 2, floor, ridge) for gs, hs in halves]
+        gain = sum(float((2 * gs[cut] * v - (hs[cut] + ridge / len(v)) * v**2).sum()) for (gs, hs), v in zip(halves, values, strict=True))
+        if gain > best and min(hs[cut].sum() for _, hs in halves) >= floor:
+            best = gain
+            out[: cut + 1], out[cut + 1 :] = values
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 200, rate: float = 0.1, leaves: int = 4, pairs: int = 6, pair_bins: int = 8, pair_rounds: int = 60, floor: float = 5.0, ridge: float = 1.0) -> Gam:
     """Boosts the features in turn, ``rounds`` times, then the ``pairs`` most useful pairs; with one label only, or no rows, a constant."""
     n = len(y)
@@ -144,13 +158,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 64, rounds: int = 200, rate: f
     for _ in range(pair_rounds):
         for (i, j), table in zip(model.pairs, model.pair_tables, strict=True):
             g, h, cell = cells(i, j)
-            # a cut of the one feature, then one of the other on each side: a tree of depth two over the grid
-            g2, h2 = g.reshape(wide[i], wide[j]), h.reshape(wide[i], wide[j])
-            rows = _tree(g2.sum(1), h2.sum(1), 2, floor, ridge)
-            step = np.zeros_like(g2)
-            for side in np.unique(rows):
-                of = rows == side
-                step[of] = _tree(g2[of].sum(0), h2[of].sum(0), 2, floor, ridge)
+            step = _pair_tree(g.reshape(wide[i], wide[j]), h.reshape(wide[i], wide[j]), floor, ridge)
             table += rate * step
             z += rate * step.ravel()[cell]
     return model

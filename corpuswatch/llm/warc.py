@@ -14,13 +14,17 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import column_or_empty, new_folder, written
+from .common import column_or_empty, new_folder, partitions, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 #: Records apart by less than this are read at once, up to so many bytes.
 GAP, BLOCK = 64 << 10, 8 << 20
+#: Archive bytes that one task reads.
+SHARE = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -94,6 +98,10 @@ def ranges(wanted: list[tuple[int, int]], gap: int = GAP, block: int = BLOCK) ->
         yield start, end - start, members
 
 
+def arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -118,7 +126,6 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Null html is an empty payload, a null url an empty target; null page_ids
     revisit any other, or are responses where no row of the payload has an id.
     """
-    spark = pages.sparkSession
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(column_or_empty(html_col), "utf-8").alias("payload"))
     base = base.withColumn("_key", F.sha1("payload")).withColumn("_bytes", F.octet_length("payload").cast("long"))
     dups = decisions(base.select("page_id", "_key", "_bytes"), min_bytes)
@@ -140,15 +147,11 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
                 out.write(data)
                 index.append((name, offset, len(data), row["page_id"], row["url"], sha1, "revisit" if revisit else "response"))
                 offset += len(data)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), SCHEMA.types, strict=True)] if index else [pa.array([], t) for t in SCHEMA.types], schema=SCHEMA)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*index, strict=True), index_schema.types, strict=True)] if index else [pa.array([], t) for t in index_schema.types], schema=index_schema)
         if out is not None:
             out.close()
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    SCHEMA = to_arrow_schema(_parse_datatype_string(INDEX))
-    del spark
+    index_schema = arrow_schema(INDEX)
     return written(rows.mapInArrow(write, INDEX), "warc-index")
 
 
@@ -160,10 +163,7 @@ def read_warc(index: DataFrame, gap: int = GAP, block: int = BLOCK) -> DataFrame
     most ``block`` bytes (more only for a single record that is longer). Each
     payload is verified by its digest.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string(FOUND))
+    schema = arrow_schema(FOUND)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, handle = None, None
@@ -178,7 +178,9 @@ def read_warc(index: DataFrame, gap: int = GAP, block: int = BLOCK) -> DataFrame
                     found = [parse(bytes(data[o - start : o - start + n])) for o, n in members]
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
 
-    dealt = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(partitions(index.sparkSession), -(-total // SHARE))  # by the bytes behind the rows, which the rows' own size doesn't tell
+    dealt = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(read, FOUND)
 
 
