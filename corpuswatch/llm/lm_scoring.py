@@ -13,8 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import column_or_empty, partitions, written
 
@@ -71,13 +73,28 @@ class Grams:
         return np.append(np.searchsorted(self.keys[kind], starts), len(self.keys[kind]))
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned numbers as their bytes by place, without places that are zero throughout, compressed. The first byte is how many places there are."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    places = np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes((width,)) + zstandard.ZstdCompressor(level=1).compress(places.tobytes())
+
+
+def loosen(squeezed: bytes) -> np.ndarray:
+    width = squeezed[0]
+    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed[1:]), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((places.shape[1], 8), dtype=np.uint8)
+    out[:, :width] = places.T
+    return out.view(np.uint64).ravel()
+
+
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, their bytes by place, so that high zero bytes compress."""
-    return np.ascontiguousarray(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Sorted keys as differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(loosen(packed), dtype=np.uint64)
 
 
 ASK = "bucket int, kind int, bundle int, keys binary, counts binary"
@@ -97,7 +114,7 @@ def _ask(buckets: int):
             cut = grams.cuts(kind, buckets)
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
-                rows.append((int(b), kind, bundle, pack(grams.keys[kind][part]), grams.counts[kind][:, part].tobytes()))
+                rows.append((int(b), kind, bundle, pack(grams.keys[kind][part]), squeeze(grams.counts[kind][:, part].ravel())))
         names = ("bucket", "kind", "bundle", "keys", "counts")
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table({n: pa.array(c, t) for n, t, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
@@ -108,13 +125,13 @@ def _ask(buckets: int):
 def _answer(table: pa.Table) -> pa.Table:
     """Adds up the counts of each n-gram of a bucket, and answers each bundle in its own order. The first row says how many words the bucket has."""
     keys = [unpack(x.as_py()) for x in table["keys"]]
-    counts = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint32).reshape(2, -1) for x in table["counts"]], axis=1)
+    counts = np.concatenate([loosen(x.as_py()).reshape(2, -1) for x in table["counts"]], axis=1)
     _, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.stack([np.bincount(at, c) for c in counts.astype(np.float64)]).astype(np.uint64)
     kind = table["kind"][0].as_py()
     words = int((total[0] > 0).sum()) if kind == 1 else 0
     ends = np.cumsum([len(k) for k in keys])
-    out = [total[:, at[e - len(k) : e]].tobytes() for k, e in zip(keys, ends, strict=True)]
+    out = [squeeze(total[:, at[e - len(k) : e]].ravel()) for k, e in zip(keys, ends, strict=True)]
     return pa.table({"bucket": table["bucket"], "kind": table["kind"], "bundle": table["bundle"], "totals": pa.array(out, pa.binary()), "vocabulary": pa.array([words] + [0] * (len(out) - 1), pa.int64())})
 
 
@@ -127,14 +144,12 @@ def _counted(buckets: int, id_type: pa.DataType):
             ordered = np.zeros((2, len(grams.keys[kind])), dtype=np.uint64)
             for b, k, t in zip(answers["bucket"].to_pylist(), answers["kind"].to_pylist(), answers["totals"], strict=True):
                 if k == kind:
-                    ordered[:, cut[b] : cut[b + 1]] = np.frombuffer(t.as_py(), dtype=np.uint64).reshape(2, -1)
+                    ordered[:, cut[b] : cut[b + 1]] = loosen(t.as_py()).reshape(2, -1)
             back = np.empty_like(ordered)
             back[:, grams.order[kind]] = ordered
             totals[kind] = back
         c1, c2 = totals[1][:, grams.at1], totals[2][:, grams.at2]
-        size = np.uint32 if max(c1.max(initial=0), c2.max(initial=0)) < 1 << 32 else np.uint64
-        both = np.stack([c1[0], c2[0]]).astype(size)
-        gone = np.stack([c1[1], c2[1]]).astype(size)
+        both, gone = np.stack([c1[0], c2[0]]), np.stack([c1[1], c2[1]])
         deleted = np.asarray(table["deleted"].combine_chunks()).astype(bool) & np.asarray(table["learn"].combine_chunks()).astype(bool)
         starts = grams.ends - grams.sizes
         known = np.add.reduceat(c1[0] > 0, starts, dtype=np.int64) if len(starts) else starts
@@ -143,18 +158,18 @@ def _counted(buckets: int, id_type: pa.DataType):
         return pa.table(
             {
                 "id": table["id"].cast(id_type), "learn": table["learn"], "deleted": pa.array(deleted), "n_tokens": pa.array(grams.sizes), "n_known": pa.array(known), "log_counts": pa.array(logs),
-                "vocabulary": pa.array(words, pa.int64()), "wide": pa.array([size is np.uint64] * len(starts)),
-                "counts": pa.array([both[:, a:b].tobytes() for a, b in zip(starts, grams.ends, strict=True)], pa.binary()),
-                "gone": pa.array([gone[:, a:b].tobytes() if d else None for a, b, d in zip(starts, grams.ends, deleted, strict=True)], pa.binary()),
+                "vocabulary": pa.array(words, pa.int64()),
+                "counts": pa.array([squeeze(both[:, a:b].ravel()) for a, b in zip(starts, grams.ends, strict=True)], pa.binary()),
+                "gone": pa.array([squeeze(gone[:, a:b].ravel()) if d else None for a, b, d in zip(starts, grams.ends, deleted, strict=True)], pa.binary()),
             }
         )
 
     return counted
 
 
-def _sequence(data: bytes, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _sequence(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of each token, of its bigram, and of its context."""
-    word, pair = np.frombuffer(data, dtype=np.uint64 if wide else np.uint32).astype(np.float64).reshape(2, -1)
+    word, pair = loosen(data).astype(np.float64).reshape(2, -1)
     return word, pair, np.concatenate([word[-1:], word[:-1]])  # texts end and start equally often
 
 
@@ -223,9 +238,8 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
     asked = dealt.groupBy("bundle").applyInArrow(_ask(buckets), ASK)
     answers = asked.groupBy("bucket", "kind").applyInArrow(_answer, ANSWER)
     id_type = docs.schema[id_col].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    out = f"id {id_type.simpleString()}, learn boolean, deleted boolean, n_tokens long, n_known long, log_counts double, vocabulary long, wide boolean, counts binary, gone binary"
+    out = f"id {id_type.simpleString()}, learn boolean, deleted boolean, n_tokens long, n_known long, log_counts double, vocabulary long, counts binary, gone binary"
     seen = dealt.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(_counted(buckets, to_arrow_type(id_type)), out)
     seen = written(seen, "lm-counts")
     got = seen.agg(F.sum(F.when(F.col("learn"), F.col("n_tokens"))).alias("n"), F.sum(F.when(F.col("deleted"), F.col("n_tokens"))).alias("d"), F.sum("vocabulary").alias("v")).first()
@@ -235,8 +249,8 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
         zero = np.iinfo(np.int32).min
         table: dict[int, int] = {}
         for batch in batches:
-            for wide, counts, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                word, pair, context = (a - b for a, b in zip(_sequence(counts, wide), _sequence(gone, wide), strict=True))
+            for counts, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                word, pair, context = (a - b for a, b in zip(_sequence(counts), _sequence(gone), strict=True))
                 p2, p1, p0 = _estimates(word, pair, context, n - d, v)
                 with np.errstate(divide="ignore"):
                     x, y = (np.where(p > 0, np.rint(np.log(np.maximum(p, 1e-300) / p0) / STEP), zero).astype(np.int64) for p in (p2, p1))
@@ -245,7 +259,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
                     table[k] = table.get(k, 0) + t
         yield pa.RecordBatch.from_arrays([pa.array(list(table), pa.int64()), pa.array(list(table.values()), pa.int64())], ["k", "n"])
 
-    rows = seen.where("deleted").select("wide", "counts", "gone").mapInArrow(held, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    rows = seen.where("deleted").select("counts", "gone").mapInArrow(held, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     key, times = rows["k"].to_numpy(), rows["n"].to_numpy()
     low, zero = (1 << 28) - 1, np.iinfo(np.int32).min
     x, y = ((part - 2000) for part in ((key >> 28) & low, key & low))
@@ -254,13 +268,13 @@ def interpolated_scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = []
-            for wide, counts in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                word, pair, context = _sequence(counts.as_py(), wide)
+            for counts in batch.column(1):
+                word, pair, context = _sequence(counts.as_py())
                 p = (weights[level(context)].T * _estimates(word, pair, context, n, v)).sum(axis=0)
                 got.append(float(np.log10(p).sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["kept", "score"])
 
-    kept = seen.select(F.struct("id", "learn", "n_tokens", "n_known", "log_counts").alias("kept"), "wide", "counts")
+    kept = seen.select(F.struct("id", "learn", "n_tokens", "n_known", "log_counts").alias("kept"), "counts")
     kind = kept.schema["kept"].dataType.simpleString()
     base_of = F.col("kept.log_counts") - F.col("kept.n_tokens") * float(np.log10(n + 0.5 * (v + 1)))
     return kept.mapInArrow(score, f"kept {kind}, score double").select(
