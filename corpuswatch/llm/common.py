@@ -102,7 +102,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         # large star: larger neighbours move to the smallest of the neighbourhood
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = written(large, name)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         # small star: smaller neighbours and the node itself move to the smallest of them
         small = (

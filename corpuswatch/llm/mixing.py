@@ -17,6 +17,10 @@ from .common import column_or_empty, written
 
 #: Most labelled rows that the classifier learns from, and the words in its table.
 SAMPLE, LEXICON = 20_000, 1024
+#: Least nats by which a word in the table tells domains apart (likelihood ratio), lest chance words crowd it.
+LEAST = 10.0
+#: Texts of usual words that each domain is given beside its own.
+PRIOR = 2.0
 #: Marks counted as noise rather than punctuation.
 MARKS = "!#$%&*|@^~"
 
@@ -44,7 +48,10 @@ def tokens(text: Column) -> Column:
 
 @dataclass
 class DomainTable:
-    """``words``: word and, per domain, the change of its log odds where a text holds that word; ``base``: per domain the log odds of a text that holds none of them."""
+    """``words``: word and, per domain, by how much its log probability rises where a text holds that word; ``base``: per domain the log probability of a text that holds none of them.
+
+    What a text lacks says nothing: short texts and rarer languages lack most words of the table.
+    """
 
     domains: list[str]
     words: DataFrame
@@ -52,15 +59,20 @@ class DomainTable:
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = SAMPLE, lexicon: int = LEXICON) -> DomainTable:
-    """A Bernoulli naive Bayes table over the ``lexicon`` words (at most) that tell most about the domain.
+    """A naive Bayes table over the presence of the ``lexicon`` words (at most) that tell most about the domain.
 
     ``labelled`` has id_col and ``domain``; the ``max_rows`` rows with the
     lowest hashes of their ids are learned from, and are broadcast as ids and domains only. Rows
-    with a null id or a domain not in ``domains`` are left out. The table has at most ``lexicon`` rows.
+    with a null id or a domain not in ``domains`` are left out, and of texts that share the three least hashes of their words one counts. The table has at most ``lexicon`` rows.
     """
     rows = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).groupBy(id_col).agg(F.min("domain").alias("domain"))
     rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     some = docs.select(F.col(id_col), column_or_empty(text_col).alias("_text")).join(F.broadcast(rows), id_col)
+    # copies and near copies share the least hashes of their words, and say no more than one of them does
+    hashes = F.transform(tokens(F.col("_text")), lambda w: F.xxhash64(w))
+    some = some.withColumn("_h", F.xxhash64(F.slice(F.array_sort(hashes), 1, 3)))
+    once = some.select(id_col, "_h").groupBy("_h").agg(F.min(id_col).alias(id_col))
+    some = some.join(F.broadcast(once), [id_col, "_h"], "left_semi")
     each = some.select("domain", tokens(F.col("_text")).alias("w"))
     sizes = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
     n = {d: sizes.get(d, 0) for d in domains}
@@ -73,12 +85,11 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
         return F.when(part > 0, part * F.log(part * total / (whole * given))).otherwise(0.0)
 
     tells = sum((nats(F.col(f"n{k}"), there, max(1, n[d])) + nats(n[d] - F.col(f"n{k}"), total - there, max(1, n[d])) for k, d in enumerate(domains)), F.lit(0.0))
-    best = counts.where(there > 1).orderBy(F.desc(F.round(tells, 6)), "word").limit(lexicon)
-    chance = [(F.col(f"n{k}") + 0.5 / len(domains)) / (n[d] + 1.0) for k, d in enumerate(domains)]
-    table = written(best.select("word", *(c.alias(f"p{k}") for k, c in enumerate(chance))), "mix-lexicon")
-    rest = table.agg(*(F.sum(F.log1p(-F.col(f"p{k}"))).alias(f"r{k}") for k in range(len(domains)))).first()
-    base = [(rest[k] or 0.0) + math.log((n[d] + 1) / (total + len(domains))) for k, d in enumerate(domains)]
-    return DomainTable(domains, table.select("word", *(F.log(F.col(f"p{k}") / (1 - F.col(f"p{k}"))).alias(f"l{k}") for k in range(len(domains)))), base)
+    best = counts.withColumn("tells", F.round(tells, 6)).where(F.col("tells") >= LEAST).orderBy(F.desc("tells"), "word").limit(lexicon)
+    usual = (there + 0.5) / (total + 1.0)
+    lift = [F.log((F.col(f"n{k}") + PRIOR * usual) / (n[d] + PRIOR) / usual) for k, d in enumerate(domains)]
+    table = written(best.select("word", *(c.alias(f"l{k}") for k, c in enumerate(lift))), "mix-lexicon")
+    return DomainTable(domains, table, [math.log((n[d] + 1) / (total + len(domains))) for d in domains])
 
 
 def posteriors(docs: DataFrame, table: DomainTable, carry: list[str], text_col: str = "text") -> DataFrame:

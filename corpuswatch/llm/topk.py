@@ -75,11 +75,11 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     """
     spark = vectors.sparkSession
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = asked.where("id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    finite = "v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    asked = asked.where("id is not null").where(finite)
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    norms = base.where("v is not null").select(F.expr("aggregate(v, 0D, (s, x) -> s + pow(floor(256D * coalesce(x, 0)), 2))").alias("n"))
-    top = norms.where("not isnan(n) and n < double('infinity')").agg(F.max("n")).first()[0]
+    top = base.where(finite).agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + pow(abs(256D * x) + 1, 2))"))).first()[0]
     folder, last, any_block = new_folder(spark, "topk"), None, False
     out = f"query_id long, rank int, {id_col} long, score long"
     while top is not None:
@@ -98,7 +98,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
 def _block(base: DataFrame, q: np.ndarray, ids: np.ndarray, top: float, k: int, bins: int) -> DataFrame:
     spark, n = base.sparkSession, len(ids)
     sent = spark.sparkContext.broadcast((q, ids))
-    reach = np.ceil(np.sqrt((q**2).sum(axis=1)) * np.sqrt(top)).astype(np.int64) + 1
+    reach = np.ceil(np.sqrt((q**2).sum(axis=1)) * np.sqrt(top)) + 1  # no score is beyond the product of the lengths
+    if reach.max() >= 2.0**62:
+        raise ValueError("scores of these vectors don't fit in a long")
+    reach = reach.astype(np.int64)
     lo, hi, need = -reach, reach.copy(), np.full(n, k, dtype=np.int64)
     done = np.zeros(n, dtype=bool)  # the kth value is lo; need: how many of those that tie with it are wanted
     while not done.all():
