@@ -13,7 +13,9 @@ the largest bound is searched next (A* over sets of paths).
 from __future__ import annotations
 
 import heapq
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,7 +32,7 @@ SPACE = "▁"
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 #: Characters that are segmented at once (one longer text is by itself).
 CHARACTERS = 2_000_000
-PRIME, MARKED = np.uint64(0x9E3779B97F4A7C15), 1 << 23
+PRIME, MARKED, BITS = np.uint64(0x9E3779B97F4A7C15), 1 << 23, 17
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -74,26 +76,34 @@ class Vocabulary:
             for k, i in enumerate(usual):
                 h = np.uint64(0)
                 for c in self.text[i]:
-                    h = h * PRIME + np.uint64(ord(c) + 1)
+                    h = (h + np.uint64(ord(c) + 1)) * PRIME
                     prefix[int(h) >> 41] = True
                 hashes[k] = h
         order = np.argsort(hashes)
         self.prefix, self.hashes, self.ids = prefix, hashes[order], np.array(usual, dtype=np.int64)[order]
         self.weights = alpha * weight[order]
-        self.is_byte = {int(i): b for b, i in enumerate(self.byte) if i >= 0}
+        self.starts = np.searchsorted(self.hashes >> np.uint64(64 - BITS), np.arange(1 << BITS)).clip(0, len(usual) - 1)
+        is_byte = {int(i): b for b, i in enumerate(self.byte) if i >= 0}
+        self.raw = [bytes((is_byte[i],)) if i in is_byte else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Where among the sorted hashes each of ``h`` is, if it is there: a jump by its high bits, then a few steps."""
+        at = self.starts[h >> np.uint64(64 - BITS)]
+        less = np.flatnonzero(self.hashes[at] < h)
+        last = len(self.hashes) - 1
+        while len(less):
+            at[less] += 1
+            less = less[at[less] < last]
+            less = less[self.hashes[at[less]] < h[less]]
+        return at
 
     def encoded(self, char: str) -> list[int]:
         return [int(self.byte[b]) for b in char.encode()]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: bytes are put together as UTF-8, and the space that was put before the text goes."""
-        text, is_byte = self.text, self.is_byte
-        if is_byte.keys().isdisjoint(ids):
-            joined = "".join([text[i] for i in ids])
-        else:
-            joined = b"".join([bytes((is_byte[i],)) if i in is_byte else text[i].encode() for i in ids]).decode("utf-8", "replace")
-        joined = joined.replace(SPACE, " ")
-        return joined[1:] if joined[:1] == " " else joined
+        joined = b"".join(map(self.raw.__getitem__, ids))
+        return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -102,65 +112,88 @@ def vocabulary(path: str, alpha: float) -> Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct words, as arrays over their characters: state s is the place before a character, and its edges lie at first[s] .. first[s + 1]."""
+    """The lattices of distinct words. A state is the place before a character; states are numbered by how much of their word is left, so that those a state leads to come before it.
+
+    The edges of state s lie at first[s] .. first[s + 1], longest first; ``to`` is
+    the number of states where a word ends. ``begin`` is each word's first
+    character among all, ``state`` the state before each character.
+    """
 
     def __init__(self, words: list[str], vocab: Vocabulary):
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.start = np.cumsum(sizes) - sizes
-        joined = "".join(words)
-        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+        self.begin = np.cumsum(sizes) - sizes
+        code = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         n = len(code)
-        end = np.repeat(self.start + sizes, sizes)
+        left = np.repeat(self.begin + sizes, sizes) - np.arange(n)
+        most = int(left.max(initial=0))
+        small = left.astype(np.uint16) if most < 1 << 16 else left
+        order = np.argsort(small, kind="stable")
+        self.state = np.empty(n + 1, dtype=np.int32)
+        self.state[order] = np.arange(n, dtype=np.int32)
         place, h, found = np.arange(n), np.zeros(n, dtype=np.uint64), []
-        single = np.zeros(n, dtype=bool)
+        room = left
         for size in range(1, vocab.longest + 1):
-            stays = place + size <= end[place]
-            place, h = place[stays], h[stays]
-            h = h * PRIME + code[place + size - 1]
-            stays = vocab.prefix[(h >> np.uint64(41)).astype(np.int64)]
-            place, h = place[stays], h[stays]
-            if not len(place):
+            stays = room >= size
+            place, room, h = place[stays], room[stays], h[stays]
+            h = (h + code[place + (size - 1)]) * PRIME
+            stays = vocab.prefix[h >> np.uint64(41)]
+            place, room, h = place[stays], room[stays], h[stays]
+            if not len(place) and size > 1:
                 break
-            at = np.minimum(np.searchsorted(vocab.hashes, h), len(vocab.hashes) - 1)
-            hit = vocab.hashes[at] == h
-            found.append((place[hit], place[hit] + size, vocab.ids[at[hit]], vocab.weights[at[hit]]))
-            if size == 1:
-                single[place[hit]] = True
-        odd = np.flatnonzero(~single)  # characters that are no piece go as bytes
-        point = (code[odd] - np.uint64(1)).astype(np.int64)
-        byte_count = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
-        found.append((odd, odd + 1, np.where(point < 128, vocab.byte[np.minimum(point, 127)], -1 - point), byte_count * vocab.byte_weight))
-        source, to, piece, weight = (np.concatenate(x) for x in zip(*found, strict=True))
-        left = end - np.arange(n)  # states are worked through by what is left of their word
-        order = np.argsort(left[source] * n + source, kind="stable")
-        source, self.to, self.piece, weight = source[order], to[order], piece[order], weight[order]
-        self.last = self.to == end[source]
-        states = np.argsort(left, kind="stable")
-        self.rank = np.empty(n, dtype=np.int64)
-        self.rank[states] = np.arange(n)
-        by_rank = self.rank[source]
-        self.first = np.searchsorted(by_rank, np.arange(n + 1))
+            at = vocab.find(h)
+            hit = np.flatnonzero(vocab.hashes[at] == h)
+            at, here = at[hit], place[hit]
+            to = np.where(room[hit] == size, n, self.state[here + size])
+            source, piece, weight = self.state[here], vocab.ids[at], vocab.weights[at]
+            if size == 1:  # characters that are no piece go as bytes
+                is_piece = np.zeros(n, dtype=bool)
+                is_piece[here] = True
+                odd = np.flatnonzero(~is_piece)
+                point = (code[odd] - np.uint64(1)).astype(np.int64)
+                count = 1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)
+                source = np.concatenate([source, self.state[odd]])
+                to = np.concatenate([to, np.where(left[odd] == 1, n, self.state[odd + 1])])
+                piece = np.concatenate([piece, np.where(point < 128, vocab.byte[np.minimum(point, 127)], -1 - point)])
+                weight = np.concatenate([weight, count * vocab.byte_weight])
+            found.append((size, source, to, piece, weight))
+        degree = np.zeros(n, dtype=np.int64)
+        for _, source, *_ in found:
+            degree[source] += 1  # a state has one edge of each size at most
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        edges, free = int(self.first[-1]), self.first[:-1].copy()
+        self.to, self.size, self.piece, weights = np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges, np.int32), np.empty(edges)
+        for size, source, to, piece, weight in reversed(found):
+            at = free[source]
+            self.to[at], self.size[at], self.piece[at], weights[at] = to, size, piece, weight
+            free[source] += 1
+        self.last = self.to == n
         beta = np.zeros(n + 1)
-        cut = np.searchsorted(left[states], np.arange(1, left.max(initial=0) + 2))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
+        cut = np.searchsorted(small[order], np.arange(1, most + 2))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if a == b:
                 continue
             lo, hi = self.first[a], self.first[b]
-            value = weight[lo:hi] + np.where(self.last[lo:hi], 0.0, beta[self.to[lo:hi]])
-            starts = self.first[a:b] - lo
+            value, starts = weights[lo:hi] + beta[self.to[lo:hi]], self.first[a:b] - lo
             top = np.maximum.reduceat(value, starts)
-            mass = np.add.reduceat(np.exp(value - np.repeat(top, np.diff(np.append(starts, hi - lo)))), starts)
-            beta[states[a:b]] = top + np.log(mass)
-        self.log_p = weight + np.where(self.last, 0.0, beta[self.to]) - beta[source]
-        self.sums = np.cumsum(np.exp(self.log_p))
+            mass = np.add.reduceat(np.exp(value - np.repeat(top, degree[a:b])), starts)
+            beta[a:b] = top + np.log(mass)
+        self.log_p = weights + beta[self.to] - np.repeat(beta[:n], degree)
+        p = np.exp(self.log_p)
+        sums = np.cumsum(p)
+        self.sums = sums - np.repeat(sums[self.first[:-1]] - p[self.first[:-1]], degree)
+        self.sums[self.first[1:] - 1] = 2.0  # whatever is left goes to the last edge
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge of each state, by its probability."""
-        rank = self.rank[state]
-        lo, hi = self.first[rank], self.first[rank + 1]
-        before = np.where(lo > 0, self.sums[lo - 1], 0.0)
-        total = self.sums[hi - 1] - before
-        return np.clip(np.searchsorted(self.sums, before + u * total, side="right"), lo, hi - 1)
+        edge = self.first[state]
+        beyond = np.flatnonzero(u > self.sums[edge])
+        while len(beyond):
+            edge[beyond] += 1
+            beyond = beyond[u[beyond] > self.sums[edge[beyond]]]
+        return edge
+
+
+NONE = np.zeros(0, dtype=np.int32)
 
 
 def truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -170,17 +203,17 @@ def truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(phi), -np.inf, value)
 
 
-def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int = 0) -> list[list[tuple[list[int], float, float, float]]]:
+def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int = 0) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` different segmentations, best perturbed value first: (ids, log probability, perturbed value, inclusion score)."""
-    number: dict[str, int] = {}
-    known, occurrences, doc_chars, doc_words = number.setdefault, [], [], []
+    number: dict[str, int] = defaultdict(itertools.count().__next__)
+    occurrences, doc_chars, doc_words = [], [], []
     for text in texts:
         words = WORDS(SPACE + text.replace(" ", SPACE)) if text else []
-        occurrences += [known(w, len(number)) for w in words]
+        occurrences += map(number.__getitem__, words)
         doc_words.append(len(words))
         doc_chars.append(len(text) + 1 if text else 0)
     if not occurrences:
-        return [[([], 0.0, 0.0, 1.0)] for _ in texts]
+        return [[(NONE, 0.0, 0.0, 1.0)] for _ in texts]
     words = list(number)
     lattice = Lattice(words, vocab)
     word = np.array(occurrences, dtype=np.int64)
@@ -191,6 +224,7 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
     doc_of_word = np.repeat(np.arange(len(texts)), doc_words)
     seeds = np.array([xxhash.xxh64_intdigest(repr(x), seed) for x in keys], dtype=np.uint64)
     total = int(doc_end[-1])
+    doc_of_char = np.repeat(np.arange(len(texts), dtype=np.int32), doc_chars)
 
     def walk(path: np.ndarray, sample: int, doc: np.ndarray, at: np.ndarray, state: np.ndarray) -> None:
         """Draws on from each state to the end of its word."""
@@ -198,12 +232,12 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
         while len(doc):
             edge = lattice.draw(state, uniform(salt[doc], at - doc_start[doc]))
             path[at] = edge
-            more = ~lattice.last[edge]
-            doc, at, state, edge = doc[more], at[more], state[more], edge[more]
-            at, state = at + lattice.to[edge] - state, lattice.to[edge]
+            more = np.flatnonzero(~lattice.last[edge])
+            doc, edge = doc[more], edge[more]
+            at, state = at[more] + lattice.size[edge], lattice.to[edge]
 
-    path = np.full(total, -1, dtype=np.int64)
-    walk(path, 0, doc_of_word, word_start, lattice.start[word])
+    path = np.full(total, -1, dtype=np.int32)
+    walk(path, 0, doc_of_word, word_start, lattice.state[lattice.begin][word])
     paths, some = [path], np.flatnonzero(np.array(doc_chars) > 0)
     salt = seeds + np.uint64(0xA5A5)
     bound = np.full(len(texts), -np.inf)
@@ -216,7 +250,7 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
         # cut what the new paths stand for: places after which a path of the set may differ
         path = paths[sample]
         at = np.flatnonzero(path >= 0)
-        doc = np.searchsorted(doc_end, at, side="right")
+        doc = doc_of_char[at]
         live = np.zeros(len(texts), dtype=bool)
         live[[d for d in some if found[d][-1][0] == sample]] = True
         inside = live[doc]
@@ -248,7 +282,7 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
                     heapq.heappush(heaps[d], (-float(v[i]), sample, place, gone))
         if sample == k - 1:
             break
-        new = np.full(total, -1, dtype=np.int64)
+        new = np.full(total, -1, dtype=np.int32)
         cut_doc, cut_at, cut_state = [], [], []
         from_word = np.zeros(len(texts), dtype=np.int64) + len(word)
         for d in some:
@@ -259,8 +293,8 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
             found[d].append((sample + 1, -v))
             new[doc_start[d] : place] = paths[parent][doc_start[d] : place]
             w = int(np.searchsorted(word_start, place, side="right")) - 1
-            state = int(lattice.start[word[w]] + place - word_start[w])
-            lo, hi = lattice.first[lattice.rank[state]], lattice.first[lattice.rank[state] + 1]
+            state = int(lattice.state[lattice.begin[word[w]] + place - word_start[w]])
+            lo, hi = lattice.first[state], lattice.first[state + 1]
             p = np.exp(lattice.log_p[lo:hi])
             p[np.array(gone) - lo] = 0.0
             sums = np.cumsum(p)
@@ -269,33 +303,37 @@ def segment(texts: list[str], keys: list, k: int, vocab: Vocabulary, seed: int =
             new[place] = edge
             if not lattice.last[edge]:
                 cut_doc.append(d)
-                cut_at.append(place + int(lattice.to[edge]) - state)
+                cut_at.append(place + int(lattice.size[edge]))
                 cut_state.append(int(lattice.to[edge]))
             from_word[d] = w + 1
         index = np.arange(len(word))
         after = index[index >= from_word[doc_of_word]]
-        walk(new, sample + 1, np.concatenate([np.array(cut_doc, dtype=np.int64), doc_of_word[after]]), np.concatenate([np.array(cut_at, dtype=np.int64), word_start[after]]), np.concatenate([np.array(cut_state, dtype=np.int64), lattice.start[word[after]]]))
+        walk(new, sample + 1, np.concatenate([np.array(cut_doc, dtype=np.int64), doc_of_word[after]]), np.concatenate([np.array(cut_at, dtype=np.int64), word_start[after]]), np.concatenate([np.array(cut_state, dtype=np.int32), lattice.state[lattice.begin][word[after]]]))
         paths.append(new)
 
     out = []
     for d in range(len(texts)):
         if not doc_chars[d]:
-            out.append([([], 0.0, 0.0, 1.0)])
+            out.append([(NONE, 0.0, 0.0, 1.0)])
             continue
         limit = -heaps[d][0][0] if heaps[d] else -np.inf
         rows = []
         for sample, value in found[d]:
             edges = paths[sample][doc_start[d] : doc_end[d]]
             edges = edges[edges >= 0]
-            pieces, log_p = lattice.piece[edges], float(lattice.log_p[edges].sum())
-            ids = pieces.tolist()
-            if len(pieces) and pieces.min() < 0:
-                ids = [j for i in ids for j in ((i,) if i >= 0 else vocab.encoded(chr(-1 - i)))]
+            ids, log_p = lattice.piece[edges], float(lattice.log_p[edges].sum())
+            if len(ids) and ids.min() < 0:
+                ids = np.array([j for i in ids.tolist() for j in ((i,) if i >= 0 else vocab.encoded(chr(-1 - i)))], dtype=np.int32)
             rows.append((ids, log_p, value, float(-np.expm1(-np.exp(min(log_p - limit, 700.0)))) if limit > -np.inf else 1.0))
         out.append(rows)
     return out
 
 
+def _lists(arrays: tuple[np.ndarray, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
 def sample_segmentations(docs: DataFrame, path: str | Callable[[], str], k: int = 2, alpha: float = 1.0, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """id_col, sample (from 1), ids, log_prob, perturbed, inclusion and round_trip: up to ``k`` different segmentations of each text, drawn without replacement.
 
@@ -324,9 +362,9 @@ def sample_segmentations(docs: DataFrame, path: str | Callable[[], str], k: int
                 rows, of = [], []
                 for i, found in enumerate(segment(texts[a:b], batch.column(0).slice(a, b - a).to_pylist(), k, vocab, seed)):
                     want = texts[a + i].replace(SPACE, " ")
-                    rows += [(s + 1, ids, lp, v, q, vocab.decode(ids) == want) for s, (ids, lp, v, q) in enumerate(found)]
+                    rows += [(s + 1, ids, lp, v, q, vocab.decode(ids.tolist()) == want) for s, (ids, lp, v, q) in enumerate(found)]
                     of += [a + i] * len(found)
-                columns = [pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)]
+                columns = [pa.array(c, t) if n != "ids" else _lists(c) for c, (n, t) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], ["_id", *(n for n, _ in fields)])
                 a = b
 
