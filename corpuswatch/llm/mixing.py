@@ -10,7 +10,8 @@ from dataclasses import dataclass
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import column_or_empty, written
@@ -67,14 +68,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     """
     rows = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).groupBy(id_col).agg(F.min("domain").alias("domain"))
     rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    some = docs.select(F.col(id_col), column_or_empty(text_col).alias("_text")).join(F.broadcast(rows), id_col)
+    some = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text")).join(F.broadcast(rows.withColumnRenamed(id_col, "_id")), "_id")
+    some = written(some.select("_id", "domain", tokens(F.col("_text")).alias("w")), "mix-examples")  # max_rows texts: read once
     # copies and near copies share the least hashes of their words, and say no more than one of them does
-    hashes = F.transform(tokens(F.col("_text")), lambda w: F.xxhash64(w))
-    some = some.withColumn("_h", F.xxhash64(F.slice(F.array_sort(hashes), 1, 3)))
-    once = some.select(id_col, "_h").groupBy("_h").agg(F.min(id_col).alias(id_col))
-    some = some.join(F.broadcast(once), [id_col, "_h"], "left_semi")
-    each = some.select("domain", tokens(F.col("_text")).alias("w"))
-    sizes = {r["domain"]: r["n"] for r in some.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
+    sketch = F.slice(F.array_sort(F.transform("w", lambda w: F.xxhash64(w))), 1, 3)
+    each = some.groupBy(F.xxhash64(sketch).alias("_h")).agg(F.min(F.struct("_id", "domain", "w")).alias("e")).select("e.domain", "e.w")
+    each = written(each, "mix-distinct")
+    sizes = {r["domain"]: r["n"] for r in each.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per domain
     n = {d: sizes.get(d, 0) for d in domains}
     total = sum(n.values())
     counts = each.select("domain", F.explode("w").alias("word")).groupBy("word").agg(*(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)))
@@ -111,12 +111,14 @@ def posteriors(docs: DataFrame, table: DomainTable, carry: list[str], text_col:
     return odds.select("carry", "n_tokens", *((F.col(f"e{k}") / sum((F.col(f"e{j}") for j in domains), F.lit(0.0))).alias(f"q{k}") for k in domains))
 
 
-def fit_rates(soft: DataFrame, weights: list[float], anchor: int | None = None, most: float | None = None, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def fit_rates(soft: DataFrame, weights: list[float], anchor: int | None = None, most: float | None = None, rounds: int = 24, tolerance: float = 1e-4) -> DataFrame:
     """``soft`` (n_tokens, q0, q1, ...) with ``rate``, nonnegative (and at most ``most``), by projected gradient descent on least squares.
 
     The objective is the sum over domains of ((expected tokens at these rates - target) / scale)^2.
+    The gradient is scaled by the inverse Gram matrix (a number per pair of domains) of the rows that are off their bounds, so that few
+    rounds are needed though domains overlap; where such a step doesn't descend, plain steps of a safe length are taken.
     Targets are ``weights`` times a total, which is the tokens that are there or, with ``anchor``, what leaves that domain's expected tokens
-    as they are. Rates start at 1. A step needs each domain's expected total
+    as they are. Rates start at 1. A step needs expected totals and that matrix
     only, one row in all, added up over the executors; the rates follow from them by an expression over
     the row. It ends after ``rounds`` rounds or when no total moves by over ``tolerance`` of all tokens.
     """
@@ -131,16 +133,31 @@ def fit_rates(soft: DataFrame, weights: list[float], anchor: int | None = None,
     now = [float(got[f"t{k}"]) for k in domains]
     total = everything if anchor is None or not weights[anchor] else now[anchor] * share / weights[anchor]
     target = [total * w / share for w in weights]
-    scale = [math.sqrt(max(now[k], 1e-6 * everything)) for k in domains]
-    # the largest eigenvalue of the scaled Gram matrix is at most its largest row sum
-    largest = max(sum(float(got[f"g{k}_{j}"]) / (scale[k] * scale[j]) for j in domains) for k in domains)
+    matrix = lambda row: np.array([[float(row[f"g{k}_{j}"] or 0) for j in domains] for k in domains])
+    scale = np.sqrt(np.maximum(now, 1e-6 * everything))
+    largest = (matrix(got) / np.outer(scale, scale)).sum(axis=1).max()  # at least the largest eigenvalue
+    badness = lambda totals: float((((np.array(totals) - target) / scale) ** 2).sum())
     limit = (lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(most)))) if most is not None else (lambda x: F.greatest(x, F.lit(0.0)))
+    free = (F.col("rate") > 0) if most is None else (F.col("rate") > 0) & (F.col("rate") < most)
+
+    def stepped(rate: Column, pull: list[float]) -> tuple[Column, Row, list[float]]:
+        rate = limit(rate - sum((F.lit(pull[k]) * F.col(f"q{k}") for k in domains), F.lit(0.0)))
+        sums = [F.sum(mass[k] * F.col("rate")).alias(f"t{k}") for k in domains]
+        row = soft.withColumn("rate", rate).agg(*sums, *(F.sum(F.when(free, mass[k] * F.col(f"q{j}"))).alias(f"g{k}_{j}") for k in domains for j in domains)).first()
+        return rate, row, [float(row[f"t{k}"]) for k in domains]
+
     rate = limit(F.lit(1.0))
     for _ in range(rounds):
-        pull = [(now[k] - target[k]) / (scale[k] ** 2 * largest) for k in domains]
-        rate = limit(rate - sum((F.lit(pull[k]) * F.col(f"q{k}") for k in domains), F.lit(0.0)))
-        sums = soft.agg(*(F.sum(mass[k] * rate).alias(f"t{k}") for k in domains)).first()
-        before, now = now, [float(sums[f"t{k}"]) for k in domains]
+        gram = matrix(got)
+        gram += np.eye(len(weights)) * (1e-6 * gram.trace() + 1e-9 * everything)
+        whole = np.linalg.solve(gram, np.array(now) - target)
+        for length in (1.0, 0.25):
+            step = stepped(rate, (length * whole).tolist())
+            if badness(step[2]) < badness(now):
+                break
+        else:  # a plain gradient step always descends
+            step = stepped(rate, ((np.array(now) - target) / (scale**2 * largest)).tolist())
+        before, (rate, got, now) = now, step
         if max(abs(a - b) for a, b in zip(before, now, strict=True)) <= tolerance * everything:
             break
     return soft.withColumn("rate", rate)
