@@ -27,9 +27,8 @@ def exact_dedup(
     when many keys fill it, some texts more are hashed, and the groups stay the same.
 
     Null texts count as empty. The row with the largest id of a group stays,
-    null ids counting as smallest; of repeated rows with that same id each
-    says ``kept`` is of the first such row only (the rest are dropped), so one
-    row of each group stays. An empty table gives an empty result. Further
+    null ids counting as smallest; of repeated rows with that same id one
+    stays, so each group keeps just one row. An empty table gives an empty result. Further
     columns of ``docs`` are ignored unless named in ``carry``, and may have any name.
     """
     base = docs.select(

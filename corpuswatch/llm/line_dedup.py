@@ -89,6 +89,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = marked.mapInArrow(second, f"id {kind}, of long, at long, h long, chunk string").where(repeated.has(F.col("h")))
     held = written(held, "line-chunks")
     stays = held.groupBy("h", "chunk").agg(F.min(F.struct("id", "at", "of")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common chunk
     going = held.join(stays, ["h", "chunk"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at")) & (F.col("of") == F.col("first.of"))))
     going = written(going.groupBy("id", "of").agg(F.collect_set("at").alias("gone")), "line-gone")
     touched = KeyFilter(going.select(F.xxhash64("id", "of").alias("k")), filter_bits)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import column_or_empty, components, written
+from .common import column_or_empty, components, partitions, written
 
 SEED = 42
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
@@ -69,6 +69,7 @@ def links(fps: DataFrame, hot: int = 64) -> DataFrame:
     members of one finer key differ in 17 bits at most. Equality joins alone
     make candidates, and a count of differing bits verifies each.
     """
+    fps = fps.repartition(partitions(fps.sparkSession), "fp")  # a small table in few files makes 34 keys a row
     high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(HALF))
     wild = F.transform(
         F.sequence(F.lit(0), F.lit(31)),
