@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corpuswatch.llm import common, exact_dedup, line_dedup, lm_scoring, mixing, quality, queries, segmentation, simhash, token_counts, topk, warc
+from corpuswatch.llm import common, exact_dedup, line_dedup, lm_scoring, minhash, mixing, quality, queries, segmentation, simhash, token_counts, topk, warc
 
 SF = "/root/testdata/sf0.001"
 #: Nulls, empty, ties, repeated rows, clashing names.
@@ -436,3 +436,49 @@ def test_pipeline_of_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.written(stage(spark, docs, SF), "test-empty")
     assert docs.count() == 0
+
+
+def brute_near(rows, least=0.8):
+    sets = [set(minhash.shingles(t or "").tolist()) for _, t in rows]
+    of = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b) and of[i] != of[j]:
+                of = [of[j] if x == of[i] else x for x in of]
+    first = {}
+    for (i, _), c in zip(rows, of, strict=True):
+        first[c] = min(first.get(c, math.inf), i)
+    return {i: first[c] for (i, _), c in zip(rows, of, strict=True)}
+
+
+def test_pipeline_near_copies_equal_brute_force_jaccard(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["text"])
+    docs = common.written(docs, "test-distinct")
+    table = docs.select("doc_id", "text").toPandas()
+    want = brute_near(list(zip(table.doc_id.tolist(), table.text, strict=True)))
+    left = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert left.columns == docs.columns
+    assert sorted(r[0] for r in left.select("doc_id").collect()) == sorted(set(want.values())) and len(set(want.values())) < len(want)
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_near_copies_are_whole_in_large_groups(spark, hot):
+    rng = np.random.default_rng(5)
+    rows = []
+    for base in range(3):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        for _ in range(30):
+            own = list(words)
+            for at in rng.integers(0, 120, int(rng.integers(0, 4))):
+                own[at] = f"x{rng.integers(10**6)}"
+            words = own if rng.random() < 0.3 else words  # the group drifts: its ends are linked by its middle only
+            rows.append((len(rows) + 1, " ".join(own)))
+    got = minhash.near_copies(documents(spark, rows), hot=hot).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_near(rows)
+
+
+def test_near_copies_odd_rows(spark):
+    got = minhash.near_copies(documents(spark, ODD)).toPandas()
+    assert len(got) == len(ODD) and set(got[got.doc_id.isin([2, 3])].component_id) == {2} and set(got[got.doc_id.isna()].component_id) == {1}
+    assert minhash.near_copies(documents(spark, [])).count() == 0
