@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by repeated passages of lines, and by content-defined chunks of lines."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from .common import KeyFilter, column_or_empty, written
 MASK = (1 << 64) - 1
 #: Lines that the rolling hash spans, mean lines between boundaries, fewest lines of a chunk that can be removed.
 SPAN, MEAN, FEWEST = 2, 2, 2
+#: A line of more words than this is a passage of its own.
+LONG = 50
 PRIME = 0x9E3779B97F4A7C15
 
 
@@ -114,3 +116,94 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shorter = part.mapInArrow(cut, f"id {kind}, text string, n_lines int, removed_chunks int, removed_lines int")
     return whole.unionByName(shorter).withColumnRenamed("id", id_col)
+
+
+def units(lines: list[str], long: int = LONG) -> Iterator[tuple[int, int]]:
+    """(start, lines) of the least passages of a text: each two lines that follow each other, and each line of over ``long`` words.
+
+    Where they start depends on nothing around them, and every passage of more lines is made of them.
+    """
+    for i, line in enumerate(lines):
+        if i + 1 < len(lines):
+            yield i, 2
+        if len(line) > 2 * long and len(line.encode().split()) > long:  # so many words have so many characters
+            yield i, 1
+
+
+def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, filter_bits: int = 1 << 24) -> DataFrame:
+    """id_col, text (without repeated passages), n_lines, removed_chunks (runs of lines that went) and removed_lines for each row of ``docs``.
+
+    A line goes if it lies in two lines, or is a line of over ``long`` words, that
+    also stand at a smaller (id, place in the text). So a passage of two or
+    more lines that stands whole in an earlier text goes whole, whatever is around it.
+    The first place of each line's content stays, and so does the first of a
+    passage's places that overlap in one text; a passage's first place may itself lose lines that stand earlier still.
+
+    A first pass sends the hash of each unit; those that come up again reach
+    the second pass as a bitmap of fixed size. That pass sends the candidates'
+    text, and the bytes themselves are the key of the groups. Groups are
+    aggregated before the shuffle, and their members are joined to the one
+    that stays, so that a common passage is dealt over many tasks. Only rows that lose a line are shuffled with their text.
+
+    Null texts count as empty, with one empty line. Null ids count as smallest. Rows alike in both id and text count as one and keep or lose
+    the same lines. An empty table gives an empty result; further columns are ignored.
+    """
+    base = docs.select(F.col(id_col).alias("id"), column_or_empty(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def signed(text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(0).to_pylist():
+                lines = text.split("\n")
+                found += [signed("\n".join(lines[a : a + n])) for a, n in units(lines, long)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
+
+    again = base.select("text").mapInArrow(first, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    repeated = KeyFilter(again, filter_bits)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, str]] = []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                lines = text.split("\n")
+                for a, n in units(lines, long):
+                    unit = "\n".join(lines[a : a + n])
+                    rows.append((k, a, n, signed(unit), unit))
+            row, at, size, h, unit = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(2).take(row), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(h, pa.int64()), pa.array(unit, pa.string())],
+                ["id", "of", "at", "size", "h", "unit"],
+            )
+
+    marked = base.withColumn("of", F.xxhash64("text"))
+    held = marked.mapInArrow(second, f"id {kind}, of long, at long, size long, h long, unit string").where(repeated.has(F.col("h")))
+    held = written(held, "line-units")
+    stays = held.groupBy("h", "unit").agg(F.min(F.struct("id", "of", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common passage
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("at") < F.col("first.at") + F.col("size"))
+    going = held.join(stays, ["h", "unit"]).where(~overlaps).select("id", "of", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("line"))
+    going = written(going.groupBy("id", "of").agg(F.collect_set("line").alias("gone")), "line-gone")
+    touched = KeyFilter(going.select(F.xxhash64("id", "of").alias("k")), filter_bits)
+    flagged = marked.withColumn("_touched", touched.has(F.xxhash64("id", "of")))
+    lines = F.size(F.split("text", "\n", -1))
+    whole = flagged.where("not _touched").select("id", "text", lines.alias("n_lines"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
+    part = flagged.where("_touched").alias("d").join(going.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left").select("d.id", "d.text", "g.gone")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, total, runs, n_gone = [], [], [], []
+            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                lines, gone = text.split("\n"), set(gone or ())
+                total.append(len(lines))
+                n_gone.append(len(gone))
+                runs.append(sum(x - 1 not in gone for x in gone))
+                texts.append("\n".join(line for x, line in enumerate(lines) if x not in gone))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(runs, pa.int32()), pa.array(n_gone, pa.int32())], ["id", "text", "n_lines", "removed_chunks", "removed_lines"])
+
+    shorter = part.mapInArrow(cut, f"id {kind}, text string, n_lines int, removed_chunks int, removed_lines int")
+    return whole.unionByName(shorter).withColumnRenamed("id", id_col)

@@ -61,7 +61,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup.passage_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -482,3 +482,56 @@ def test_near_copies_odd_rows(spark):
     got = minhash.near_copies(documents(spark, ODD)).toPandas()
     assert len(got) == len(ODD) and set(got[got.doc_id.isin([2, 3])].component_id) == {2} and set(got[got.doc_id.isna()].component_id) == {1}
     assert minhash.near_copies(documents(spark, [])).count() == 0
+
+
+def brute_passages(rows):
+    """By plain loops over all places, the order being null ids first, then id, then (for equal ids) the text's hash as the operator has it; ids here are distinct."""
+    places = defaultdict(list)
+    for i, t in rows:
+        lines = t.split("\n")
+        for a, line in enumerate(lines):
+            if a + 1 < len(lines):
+                places[tuple(lines[a : a + 2])].append((i, a))
+            if len(line.split()) > 50:
+                places[(line,)].append((i, a))
+    gone = defaultdict(set)
+    for unit, at in places.items():
+        i0, a0 = min(at)
+        for i, a in at:
+            if i != i0 or a >= a0 + len(unit):
+                gone[i].update(range(a, a + len(unit)))
+    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in rows}
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_op9_passages_equal_brute_force(spark, bits):
+    table = docs_of()
+    rows = list(zip(table.doc_id.tolist(), table.text, strict=True))
+    got = line_dedup.passage_dedup(spark.read.parquet(f"{SF}/documents.parquet"), filter_bits=bits).toPandas()
+    assert dict(zip(got.doc_id, got.text, strict=True)) == brute_passages(rows)
+    assert (got.removed_lines == got.n_lines - [0 if r.removed_lines == r.n_lines else r.text.count("\n") + 1 for r in got.itertuples()]).all()
+    query = queries.op9_line_dedup(spark, SF).toPandas()
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in brute_passages(rows).items()}
+    assert dict(zip(query.doc_id, query.text_sha256, strict=True)) == want
+
+
+def test_op9_removes_planted_passages_whole(spark):
+    rows, want = [], {}
+    for n in range(2, 7):
+        passage = [f"planted {n} {k} " + "word " * (60 // n) for k in range(n)]
+        for before in range(6):
+            own = [f"own {n} {before} {k}" for k in range(before + 4)]
+            rows.append((len(rows) + 1, "\n".join(own[:before] + passage + own[before:])))
+            want[len(rows)] = "\n".join(own) if before else rows[-1][1]
+    long = "many " * 51
+    rows += [(1001, f"a\n{long}\nb"), (1002, f"c\n{long}\nd"), (1003, "x\nx\nx\nx\nx")]
+    want |= {1001: f"a\n{long}\nb", 1002: "c\nd", 1003: "x\nx"}
+    got = line_dedup.passage_dedup(documents(spark, rows)).toPandas()
+    assert dict(zip(got.doc_id, got.text, strict=True)) == want
+
+
+def test_op9_passages_of_odd_rows(spark):
+    got = line_dedup.passage_dedup(documents(spark, ODD)).toPandas()
+    assert len(got) == len(ODD) and got[got.doc_id == 6].text.tolist() == ["line\nline\n"] and got[got.doc_id == 4].n_lines.tolist() == [1]
+    assert got[got.doc_id == 7].removed_lines.max() >= 19
+    assert line_dedup.passage_dedup(documents(spark, [])).count() == 0
