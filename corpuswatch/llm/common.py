@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where that is unset (local runs)."""
+    """The folder all executors see: ``spark.checkpoint.dir``. Where that is unset a local master takes a temporary folder; any other master is refused, as its executors don't share one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         found = tempfile.mkdtemp(prefix="corpuswatch-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -45,32 +48,42 @@ def column_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: Slots a key of a bitmap, and the most slots of a bitmap that is sent to every task (32 MB).
+SLOTS, MOST_SLOTS = 16, 1 << 28
+
+
 class KeyFilter:
-    """A bitmap of hashed 64-bit keys.
+    """Which rows have one of many 64-bit keys.
 
-    ``bits`` fixes its size whatever the data hold, so that it may be sent to
-    every task. It errs to one side only: a key that was put in is always
-    found, and others now and then, so callers verify what passes.
+    The bitmap has ``SLOTS`` slots a key, so that one other key in sixteen
+    passes, and ``bits`` slots at most, whatever the data hold. Where there are more keys
+    than a quarter of those, they are joined by equality instead. A key that
+    was put in is always found and others may be, so callers verify what passes.
     """
 
-    def __init__(self, keys: DataFrame, bits: int = 1 << 24):
+    def __init__(self, keys: DataFrame, bits: int = MOST_SLOTS):
         """keys: one column of longs, none of them null."""
-        slot = F.pmod(F.xxhash64(F.col(keys.columns[0])), F.lit(bits))
-        words = (
-            keys.select(slot.alias("s"))
-            .groupBy(F.shiftright("s", 6).alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
-        )
-        self.bits, self.words = bits, np.zeros(bits // 64, dtype=np.uint64)
-        got = words.toPandas()  # bits / 64 rows at most
-        self.words[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64)
-        self.sent = keys.sparkSession.sparkContext.broadcast(self.words)
+        keys = written(keys.toDF("k"), "keys")
+        n = keys.count()
+        self.keys = keys if n > bits // 4 else None
+        if self.keys is not None:
+            return
+        self.bits = min(bits, max(64, 1 << (n * SLOTS - 1).bit_length() if n else 64))
+        words = keys.select(self.slot(F.col("k")).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
+        found = np.zeros(self.bits // 64, dtype=np.uint64)
+        got = words.toArrow()  # bits / 64 rows at most
+        found[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
+        self.sent = keys.sparkSession.sparkContext.broadcast(found)
 
     def slot(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.bits))
 
-    def has(self, key: Column) -> Column:
-        """Whether ``key`` may be among the keys; only its slot number goes to Python."""
+    def mark(self, rows: DataFrame, name: str, key: Column) -> DataFrame:
+        """``rows`` with ``name``, whether ``key`` may be among the keys. A bitmap takes only the key's slot number to Python."""
+        if self.keys is not None:
+            put = self.keys.distinct().select(F.col("k").alias(f"{name}_k"), F.lit(True).alias(f"{name}_there"))
+            joined = rows.withColumn(f"{name}_key", key).join(written(put, "keys"), F.col(f"{name}_key") == F.col(f"{name}_k"), "left")
+            return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(f"{name}_there").isNotNull().alias(name))
         sent = self.sent
 
         def found(slot: pd.Series) -> pd.Series:
@@ -78,16 +91,31 @@ class KeyFilter:
             return pd.Series(((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
 
         found.__annotations__ = {"slot": pd.Series, "return": pd.Series}  # postponed ones don't resolve in here
-        return F.pandas_udf(found, "boolean")(self.slot(key))
+        return rows.withColumn(name, F.pandas_udf(found, "boolean")(self.slot(key)))
+
+
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, or that with as many underscores before it as make it none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+#: Edges that one task may well have all of.
+FEW = 200_000
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", few: int = FEW) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b: longs); component is the smallest node reachable.
 
     Alternates large-star and small-star contraction until the edges rest.
-    Minima are aggregated before they are shuffled and a hub's neighbours are
-    joined, not gathered, so that a star of any size is dealt over many tasks.
-    The edges of each round are written to the shared folder.
+    Minima are aggregated before they are shuffled and written before they are
+    joined: both sides of the join are then shuffled anew, and adaptive
+    execution can split a hub's edges over many tasks, which it can't where one
+    side comes straight from an aggregate on the key. (With ``few`` edges or less
+    that isn't worth two more jobs a round.) The edges of each round are
+    written to the shared folder.
     """
     at = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), name
@@ -98,11 +126,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     before = state(at)
     while before[0]:
+        kept = written if before[0] > few else lambda df, _: df
         both = at.union(at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}-low")
         # large star: larger neighbours move to the smallest of the neighbourhood
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = kept(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), f"{name}-large")
+        low = kept(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         # small star: smaller neighbours and the node itself move to the smallest of them
         small = (
             large.join(low, "a")

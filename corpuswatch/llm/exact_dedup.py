@@ -7,45 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, column_or_empty, written
+from .common import MOST_SLOTS, KeyFilter, column_or_empty, written
 
 #: Characters of the head that the second step hashes.
 HEAD = 256
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), head: int = HEAD, filter_bits: int = 1 << 24
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), head: int = HEAD, filter_bits: int = MOST_SLOTS, full_hash: str | None = None
 ) -> DataFrame:
     """One row for each row of ``docs``: id_col, keep_id, group_size, kept, and the columns in ``carry``.
 
-    Step 1 groups rows by the byte length of the text, step 2 those of a
-    shared length by a hash of the head too. Step 3 scans again and hashes
-    the whole text (SHA-256) of rows only whose length and head are shared;
-    groups are rows with equal length, head and SHA-256. Texts are never
-    shuffled: only lengths and hashes are. The survivors of step 2 reach the
-    second scan as a bitmap of ``filter_bits`` bits, whatever their number;
-    when many keys fill it, some texts more are hashed, and the groups stay the same.
+    Step 1 counts byte lengths. Step 2 hashes the heads of rows of a shared
+    length. Step 3 hashes the whole text (SHA-256) of rows whose length and
+    head are shared; groups are rows with equal length, head and SHA-256. Texts are never
+    shuffled: only lengths and hashes are. What survives a step reaches the
+    next scan as a bitmap sized by the keys, of ``filter_bits`` slots at most, or by an
+    equality join beyond; some rows may pass that needn't, and the groups stay the same.
+    ``full_hash`` names a column of ``docs`` with the text's SHA-256 in hex digits, for callers that need it
+    anyway; the text isn't hashed again then.
 
     Null texts count as empty. The row with the largest id of a group stays,
     null ids counting as smallest; of repeated rows with that same id one
     stays, so each group keeps just one row. An empty table gives an empty result. Further
-    columns of ``docs`` are ignored unless named in ``carry``, and may have any name.
+    columns of ``docs`` are ignored unless named in ``carry``; one whose name is also that of a result column comes
+    twice, so callers that carry any name pass a struct.
     """
-    base = docs.select(
-        F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry")
-    ).withColumn("_len", F.octet_length("_text"))
-    narrow = base.select("_len", F.xxhash64(F.substring("_text", 1, head)).alias("_head"))
-    heads = narrow.groupBy("_len", "_head").agg(F.count(F.lit(1)).alias("n"))
-    heads = written(heads, "exact-heads")
-    lengths = heads.groupBy("_len").agg(F.sum("n").alias("of_len")).where("of_len > 1")
-    shared = heads.where("n > 1").join(lengths, "_len", "left_semi").select(F.xxhash64("_len", "_head").alias("k"))
-    survives = KeyFilter(shared, filter_bits)
-    hashed = (
-        base.withColumn("_head", F.xxhash64(F.substring("_text", 1, head)))
-        .withColumn("_again", survives.has(F.xxhash64("_len", "_head")))
-        .select("_id", "_carry", "_len", "_head", F.when(F.col("_again"), F.unhex(F.sha2("_text", 256))).alias("_full"), F.monotonically_increasing_id().alias("_row"))
-    )
-    hashed = written(hashed, "exact-hashed")
+    whole = F.unhex(F.col(full_hash)) if full_hash else F.unhex(F.sha2(column_or_empty(text_col), 256))
+    base = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"), whole.alias("_whole"))
+    base = base.withColumn("_len", F.octet_length("_text").cast("long"))
+    many = base.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len")
+    same_length = KeyFilter(many, filter_bits)
+    head_of = F.xxhash64("_len", F.substring("_text", 1, head))
+    heads = same_length.mark(base.select("_len", "_text"), "_pair", F.col("_len")).where("_pair").select(head_of.alias("_head"))
+    same_head = KeyFilter(heads.groupBy("_head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_head"), filter_bits)
+    hashed = same_head.mark(base.withColumn("_head", head_of), "_again", F.col("_head"))
+    hashed = written(hashed.select("_id", "_carry", "_len", "_head", F.when(F.col("_again"), F.col("_whole")).alias("_full"), F.monotonically_increasing_id().alias("_row")), "exact-hashed")
     key = ["_len", "_head", "_full"]
     groups = hashed.where("_full is not null").groupBy(*key).agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n"))
     groups = written(groups.where("_n > 1"), "exact-groups")  # so that the join deals rows anew and can split a large group

@@ -1,4 +1,4 @@
-"""Line dedup by repeated passages of lines, and by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, column_or_empty, written
+from .common import MOST_SLOTS, KeyFilter, column_or_empty, written
 
-MASK = (1 << 64) - 1
-#: Lines that the rolling hash spans, mean lines between boundaries, fewest lines of a chunk that can be removed.
-SPAN, MEAN, FEWEST = 2, 2, 2
-#: A line of more words than this is a passage of its own.
+#: Lines that the rolling hash spans, and mean windows between boundaries.
+SPAN, MEAN = 2, 1
+#: A line of more words than this is a chunk of its own.
 LONG = 50
 PRIME = 0x9E3779B97F4A7C15
+MASK = (1 << 64) - 1
 
 
 def _mix(h: int) -> int:
@@ -24,126 +24,44 @@ def _mix(h: int) -> int:
     return h ^ (h >> 31)
 
 
-def chunks(text: str, span: int = SPAN, mean: int = MEAN, fewest: int = FEWEST) -> Iterator[tuple[int, int]]:
-    """(start, end) line numbers of a text's chunks. A polynomial rolling hash of the last ``span`` line hashes closes a chunk of at least ``fewest`` lines when it is 0 modulo ``mean``."""
-    lines = text.split("\n")
-    drop = pow(PRIME, span, 1 << 64)
-    hashes: list[int] = []
-    roll, start = 0, 0
-    for i, line in enumerate(lines):
-        h = xxhash.xxh64_intdigest(line.encode())
-        hashes.append(h)
+def chunks(lines: list[str], span: int = SPAN, mean: int = MEAN, long: int = LONG) -> Iterator[tuple[int, int, int]]:
+    """(start, lines, key) of a text's chunks.
+
+    A polynomial rolling hash of the last ``span`` line hashes marks a boundary where it is 0
+    modulo ``mean``; the lines it spans there are a chunk. So a boundary depends on
+    those lines alone, wherever they stand. A line of over ``long`` words is a chunk too. ``key`` is
+    the rolling hash, signed, and only says which chunks may be equal.
+    """
+    drop, roll = pow(PRIME, span, 1 << 64), 0
+    hashes = [xxhash.xxh64_intdigest(line.encode()) for line in lines]
+    for i, h in enumerate(hashes):
         roll = (roll * PRIME + h) & MASK
         if i >= span:
             roll = (roll - hashes[i - span] * drop) & MASK
-        if i + 1 - start >= fewest and _mix(roll) % mean == 0:
-            yield start, i + 1
-            start = i + 1
-    if start < len(lines):
-        yield start, len(lines)
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, mean: int = MEAN, fewest: int = FEWEST, filter_bits: int = 1 << 24) -> DataFrame:
-    """id_col, text (without repeated chunks), n_lines, removed_chunks and removed_lines for each row of ``docs``.
-
-    A first pass sends the hash of each chunk of ``fewest`` lines or more; those that
-    come up again reach the second pass as a bitmap of fixed size. That pass sends the candidate chunks' text,
-    and the bytes themselves are the key of the groups, so chunks that only share a hash are
-    told apart. Of equal chunks the one with the smallest (id, place in the
-    text) stays; all others go, also within one text. Groups are aggregated
-    before the shuffle, and their members are joined to the one that stays, so
-    a chunk that a third of all rows hold is dealt over many tasks. Only rows that lose a chunk are
-    shuffled with their text.
-
-    Null texts count as empty, with one empty line. Null ids count as smallest. Rows alike in both id and text count as one and keep or lose
-    the same chunks. An empty table gives an empty result; further columns are ignored.
-    """
-    base = docs.select(F.col(id_col).alias("id"), column_or_empty(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                lines = text.split("\n")
-                found += [xxhash.xxh64_intdigest("\n".join(lines[a:b]).encode()) for a, b in chunks(text, span, mean, fewest) if b - a >= fewest]
-            yield pa.RecordBatch.from_arrays([pa.array([h - (h >> 63 << 64) for h in found], pa.int64())], ["h"])
-
-    again = base.select("text").mapInArrow(first, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    repeated = KeyFilter(again, filter_bits)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple[int, int, int, str]] = []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                lines = text.split("\n")
-                for a, b in chunks(text, span, mean, fewest):
-                    if b - a >= fewest:
-                        chunk = "\n".join(lines[a:b])
-                        rows.append((k, a, xxhash.xxh64_intdigest(chunk.encode()), chunk))
-            row, at, h, chunk = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), batch.column(2).take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array([x - (x >> 63 << 64) for x in h], pa.int64()), pa.array(chunk, pa.string())],
-                ["id", "of", "at", "h", "chunk"],
-            )
-
-    marked = base.withColumn("of", F.xxhash64("text"))
-    held = marked.mapInArrow(second, f"id {kind}, of long, at long, h long, chunk string").where(repeated.has(F.col("h")))
-    held = written(held, "line-chunks")
-    stays = held.groupBy("h", "chunk").agg(F.min(F.struct("id", "at", "of")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common chunk
-    going = held.join(stays, ["h", "chunk"]).where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("at") == F.col("first.at")) & (F.col("of") == F.col("first.of"))))
-    going = written(going.groupBy("id", "of").agg(F.collect_set("at").alias("gone")), "line-gone")
-    touched = KeyFilter(going.select(F.xxhash64("id", "of").alias("k")), filter_bits)
-    flagged = marked.withColumn("_touched", touched.has(F.xxhash64("id", "of")))
-    lines = F.size(F.split("text", "\n", -1))
-    whole = flagged.where("not _touched").select("id", "text", lines.alias("n_lines"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
-    part = flagged.where("_touched").alias("d").join(going.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left").select("d.id", "d.text", "g.gone")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, total, n_chunks, n_lines = [], [], [], []
-            for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out, lines, gone = [], text.split("\n"), set(gone or ())
-                n_chunks.append(len(gone))
-                total.append(len(lines))
-                for a, b in chunks(text, span, mean, fewest):
-                    if a not in gone:
-                        out += lines[a:b]
-                n_lines.append(len(lines) - len(out))
-                texts.append("\n".join(out))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(total, pa.int32()), pa.array(n_chunks, pa.int32()), pa.array(n_lines, pa.int32())], ["id", "text", "n_lines", "removed_chunks", "removed_lines"])
-
-    shorter = part.mapInArrow(cut, f"id {kind}, text string, n_lines int, removed_chunks int, removed_lines int")
-    return whole.unionByName(shorter).withColumnRenamed("id", id_col)
-
-
-def units(lines: list[str], long: int = LONG) -> Iterator[tuple[int, int]]:
-    """(start, lines) of the least passages of a text: each two lines that follow each other, and each line of over ``long`` words.
-
-    Where they start depends on nothing around them, and every passage of more lines is made of them.
-    """
-    for i, line in enumerate(lines):
-        if i + 1 < len(lines):
-            yield i, 2
-        if len(line) > 2 * long and len(line.encode().split()) > long:  # so many words have so many characters
-            yield i, 1
-
-
-def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, filter_bits: int = 1 << 24) -> DataFrame:
-    """id_col, text (without repeated passages), n_lines, removed_chunks (runs of lines that went) and removed_lines for each row of ``docs``.
-
-    A line goes if it lies in two lines, or is a line of over ``long`` words, that
-    also stand at a smaller (id, place in the text). So a passage of two or
-    more lines that stands whole in an earlier text goes whole, whatever is around it.
+        if i + 1 >= span:
+            key = _mix(roll)
+            if mean == 1 or key % mean == 0:
+                yield i + 1 - span, span, key - (1 << 63)
+        if len(lines[i]) > 2 * long and len(lines[i].encode().split()) > long:  # so many words have so many characters
+            yield i, 1, _mix(h ^ long) - (1 << 63)
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, mean: int = MEAN, long: int = LONG, filter_bits: int = MOST_SLOTS) -> DataFrame:
+    """id_col, text (without repeated chunks), n_lines, removed_chunks (runs of lines that went) and removed_lines for each row of ``docs``.
+
+    A line goes if it lies in a chunk that also stands at a smaller (id, place in the text).
+    With ``mean`` 1 each window of ``span`` lines is a chunk, as a passage of just
+    two lines holds no other that doesn't depend on what is around it; a passage of
+    two or more lines that stands whole in an earlier text goes whole then. With
+    a larger ``mean`` fewer chunks are compared and the edges of passages, and short ones, stay.
     The first place of each line's content stays, and so does the first of a
     passage's places that overlap in one text; a passage's first place may itself lose lines that stand earlier still.
 
-    A first pass sends the hash of each unit; those that come up again reach
-    the second pass as a bitmap of fixed size. That pass sends the candidates'
+    A first pass sends the key of each chunk; those that come up again reach
+    the second pass as a bitmap sized by their number, or by an equality join beyond it. That pass sends the candidates'
     text, and the bytes themselves are the key of the groups. Groups are
-    aggregated before the shuffle, and their members are joined to the one
-    that stays, so that a common passage is dealt over many tasks. Only rows that lose a line are shuffled with their text.
+    aggregated before the shuffle and written, and their members are joined to the one
+    that stays, so that a common chunk is split over tasks. Only rows that lose a line are shuffled with their text.
 
     Null texts count as empty, with one empty line. Null ids count as smallest. Rows alike in both id and text count as one and keep or lose
     the same lines. An empty table gives an empty result; further columns are ignored.
@@ -151,15 +69,9 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).alias("id"), column_or_empty(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def signed(text: str) -> int:
-        return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
-
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                lines = text.split("\n")
-                found += [signed("\n".join(lines[a : a + n])) for a, n in units(lines, long)]
+            found = [key for text in batch.column(0).to_pylist() for _, _, key in chunks(text.split("\n"), span, mean, long)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
 
     again = base.select("text").mapInArrow(first, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -170,9 +82,7 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows: list[tuple[int, int, int, int, str]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 lines = text.split("\n")
-                for a, n in units(lines, long):
-                    unit = "\n".join(lines[a : a + n])
-                    rows.append((k, a, n, signed(unit), unit))
+                rows += [(k, a, n, key, "\n".join(lines[a : a + n])) for a, n, key in chunks(lines, span, mean, long)]
             row, at, size, h, unit = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -181,15 +91,15 @@ def passage_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             )
 
     marked = base.withColumn("of", F.xxhash64("text"))
-    held = marked.mapInArrow(second, f"id {kind}, of long, at long, size long, h long, unit string").where(repeated.has(F.col("h")))
-    held = written(held, "line-units")
+    held = repeated.mark(marked.mapInArrow(second, f"id {kind}, of long, at long, size long, h long, unit string"), "again", F.col("h"))
+    held = written(held.where("again").drop("again"), "line-chunks")
     stays = held.groupBy("h", "unit").agg(F.min(F.struct("id", "of", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common passage
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("at") < F.col("first.at") + F.col("size"))
     going = held.join(stays, ["h", "unit"]).where(~overlaps).select("id", "of", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("line"))
     going = written(going.groupBy("id", "of").agg(F.collect_set("line").alias("gone")), "line-gone")
     touched = KeyFilter(going.select(F.xxhash64("id", "of").alias("k")), filter_bits)
-    flagged = marked.withColumn("_touched", touched.has(F.xxhash64("id", "of")))
+    flagged = touched.mark(marked, "_touched", F.xxhash64("id", "of"))
     lines = F.size(F.split("text", "\n", -1))
     whole = flagged.where("not _touched").select("id", "text", lines.alias("n_lines"), F.lit(0).alias("removed_chunks"), F.lit(0).alias("removed_lines"))
     part = flagged.where("_touched").alias("d").join(going.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left").select("d.id", "d.text", "g.gone")

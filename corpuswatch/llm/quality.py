@@ -200,7 +200,7 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     table gives an empty result. Columns of ``docs`` are read by position, so any names may clash.
     """
     kept = docs.columns if keep_columns else [id_col]
-    struct = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)))
+    struct = F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(kept)))
     base = docs.select(struct.alias("kept"), column_or_empty(text_col).alias("text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,11 +57,11 @@ def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return exact_dedup.exact_dedup(docs, carry=["text_sha256"])
+    return exact_dedup.exact_dedup(docs, carry=["text_sha256"], full_hash="text_sha256")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.passage_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "removed_chunks", "removed_lines", F.octet_length("text").alias("bytes_left"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -12,6 +12,7 @@ the largest bound is searched next (A* over sets of paths).
 
 from __future__ import annotations
 
+import codecs
 import heapq
 import itertools
 import re
@@ -29,6 +30,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 from .common import column_or_empty
 
 SPACE = "▁"
+#: Fixed value: what the library decodes the unknown piece to.
+UNKNOWN = " \u2047 ".encode()
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 #: Characters that are segmented at once (one longer text is by itself).
 CHARACTERS = 2_000_000
@@ -84,7 +87,10 @@ class Vocabulary:
         self.weights = alpha * weight[order]
         self.starts = np.searchsorted(self.hashes >> np.uint64(64 - BITS), np.arange(1 << BITS)).clip(0, len(usual) - 1)
         is_byte = {int(i): b for b, i in enumerate(self.byte) if i >= 0}
-        self.raw = [bytes((is_byte[i],)) if i in is_byte else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
+        # control pieces and unused ones draw nothing; the unknown piece has a surface of its own, which stays as it is
+        self.silent = [model.is_control(i) or model.is_unused(i) for i in range(size)]
+        self.unknown = next((i for i in range(size) if model.is_unknown(i)), -1)
+        self.raw = [b"" if self.silent[i] else UNKNOWN if i == self.unknown else bytes((is_byte[i],)) if i in is_byte else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Where among the sorted hashes each of ``h`` is, if it is there: a jump by its high bits, then a few steps."""
@@ -101,9 +107,16 @@ class Vocabulary:
         return [int(self.byte[b]) for b in char.encode()]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``: bytes are put together as UTF-8, and the space that was put before the text goes."""
-        joined = b"".join(map(self.raw.__getitem__, ids))
-        return (joined[1:] if joined[:1] == b" " else joined).decode("utf-8", "replace")
+        """The text of ``ids``, as the library has it: bytes are put together as UTF-8, the space that was put before the text goes, control pieces give nothing and the unknown piece its surface."""
+        silent, raw = self.silent, self.raw
+        runs = [ids] if not any(map(silent.__getitem__, ids)) else [list(run) for quiet, run in itertools.groupby(ids, silent.__getitem__) if not quiet]
+        joined = [b"".join(map(raw.__getitem__, run)) for run in runs]  # bytes on two sides of a control piece don't make one letter
+        if joined and joined[0][:1] == b" " and runs[0][0] != self.unknown and runs[0][0] != self.byte[0x20]:
+            joined[0] = joined[0][1:]
+        return "".join(run.decode("utf-8", "corpuswatch_each") for run in joined)
+
+
+codecs.register_error("corpuswatch_each", lambda error: ("\ufffd" * (error.end - error.start), error.end))  # one mark a byte, as the library
 
 
 @lru_cache(maxsize=2)

@@ -26,6 +26,15 @@ from .common import column_or_empty
 #: Words whose counts a worker remembers, and the longest word it remembers.
 REMEMBER, LONGEST = 200_000, 64
 
+# Capitals of newer Unicode versions than Python's tables may know, and their small letters.
+NEWER = {0xA7CB: 0x264, 0xA7DC: 0x19B}
+NEWER |= {c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_NEWER = regex.compile(f"[{''.join(map(chr, NEWER))}]")
+# Fixed value: from here on the library knows no letters, though newer Unicode versions do.
+UNKNOWN = "[\U000323b0-\U0010ffff]"
+_UNKNOWN = regex.compile(UNKNOWN)
+
 
 def byte_letters() -> list[str]:
     """The printable letter of each byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
@@ -69,7 +78,9 @@ class Counter:
         self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
         self.end = model.get("end_of_word_suffix") or ""
         split = next(p for p in found["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern).findall
+        self.words_of_rare = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--{UNKNOWN}]")).findall
         special = [t["content"] for t in found["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.letters = byte_letters()
@@ -91,8 +102,11 @@ class Counter:
         # lower case comes letter by letter: no rule for a final sigma
         text = unicodedata.normalize("NFC", text)
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if _NEWER.search(text):
+            text = text.translate(NEWER)
         known, word = self.known.get, self.word
-        return sum([known(w) or word(w) for w in self.words(text)])
+        words = self.words if text.isascii() or not _UNKNOWN.search(text) else self.words_of_rare
+        return sum([known(w) or word(w) for w in words(text)])
 
     def __call__(self, text: str) -> int:
         if self.special is None or not self.special.search(text):

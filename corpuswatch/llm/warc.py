@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import column_or_empty, new_folder, partitions, written
+from .common import KeyFilter, column_or_empty, new_folder, partitions, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -115,6 +115,19 @@ def decisions(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return groups.where((F.col("_n") > 1) & (F.col("_b") >= min_bytes)).select("_key", "_refers")
 
 
+def payloads(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(column_or_empty(html_col), "utf-8").alias("payload"))
+    return base.withColumn("_key", F.sha1("payload")).withColumn("_bytes", F.octet_length("payload").cast("long"))
+
+
+def referred(base: DataFrame, min_bytes: int) -> DataFrame:
+    """page_id, url, payload and _refers, the page whose record is the response for that payload (null where it stands alone)."""
+    dups = written(decisions(base.select("page_id", "_key", "_bytes"), min_bytes), "warc-shared")
+    marked = KeyFilter(dups.select(F.xxhash64("_key"))).mark(base, "_shared", F.xxhash64("_key"))
+    alone = marked.where("not _shared").select("page_id", "url", "payload", F.lit(None).cast("long").alias("_refers"))
+    return alone.unionByName(marked.where("_shared").join(dups, "_key", "left").select("page_id", "url", "payload", "_refers"))
+
+
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Writes a record per row of ``pages`` into archives under ``folder`` and returns their index (``INDEX``), itself a written table.
 
@@ -125,11 +138,12 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     revisit it; of rows repeated with that page_id each is a response.
     Null html is an empty payload, a null url an empty target; null page_ids
     revisit any other, or are responses where no row of the payload has an id.
+
+    Payloads that stand alone go straight into an archive; only rows of shared
+    ones are shuffled. What each of those becomes is written before its rows are joined to it,
+    so that a payload that a third of all pages share is split over tasks.
     """
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(column_or_empty(html_col), "utf-8").alias("payload"))
-    base = base.withColumn("_key", F.sha1("payload")).withColumn("_bytes", F.octet_length("payload").cast("long"))
-    dups = decisions(base.select("page_id", "_key", "_bytes"), min_bytes)
-    rows = base.join(dups, "_key", "left").select("page_id", "url", "payload", "_refers")
+    rows = referred(payloads(pages, id_col, url_col, html_col), min_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, offset = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0

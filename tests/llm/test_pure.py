@@ -114,18 +114,17 @@ def test_quantised_matrix_skips_bad_vectors():
     assert m[good].tolist() == [[128.0, -1.0], [64.0, 0.0], [0.0, 0.0]]
 
 
-def test_chunks_cover_all_lines_and_resist_shifts():
+def test_chunks_depend_on_their_lines_alone():
     r = random.Random(3)
     lines = [f"line {r.random()}" for _ in range(60)]
-    text = "\n".join(lines)
-    spans = list(line_dedup.chunks(text))
-    assert [i for a, b in spans for i in range(a, b)] == list(range(60))
-    assert all(b - a >= 2 for a, b in spans[:-1])
-    own = {"\n".join(lines[a:b]) for a, b in spans}
-    moved = [f"other {i}" for i in range(3)] + lines
-    after = {"\n".join(moved[a:b]) for a, b in line_dedup.chunks("\n".join(moved))}
-    assert len(own & after) >= len(own) - 4
-    assert list(line_dedup.chunks("")) == [(0, 1)]
+    for mean in (1, 3):
+        keys = {(tuple(lines[a : a + n]), key) for a, n, key in line_dedup.chunks(lines, mean=mean)}
+        moved = [f"other {i}" for i in range(3)] + lines + ["end"]
+        after = {(tuple(moved[a : a + n]), key) for a, n, key in line_dedup.chunks(moved, mean=mean)}
+        assert keys <= after and len(after) <= len(keys) + 4
+        assert len(keys) == 59 if mean == 1 else 8 < len(keys) < 35
+    assert list(line_dedup.chunks([""])) == [] and [x[:2] for x in line_dedup.chunks(["w " * 51])] == [(0, 1)]
+    assert {x[:2] for x in line_dedup.chunks(lines, span=3)} == {(i, 3) for i in range(58)}
 
 
 def vocab() -> segmentation.Vocabulary:
@@ -197,6 +196,20 @@ def test_decoding_equals_the_library():
     v, library = vocab(), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     for text in [*ODD, *random_texts(50)]:
         assert v.decode(library.encode(text)) == text
+    r, n = random.Random(6), library.get_piece_size()
+    for _ in range(3000):  # controls, the unknown piece, single bytes, any piece
+        ids = [r.choice([0, 1, 2, r.randrange(300), r.randrange(n)]) for _ in range(r.randrange(6))]
+        assert v.decode(ids) == library.decode(ids)
+
+
+def test_counts_equal_the_library_for_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, mine = tokenizers.Tokenizer.from_file(path), token_counts.Counter(path)
+    points = [c for c in [*range(0x33500), *range(0x3D800, 0x3DA00), *range(0xE0000, 0xE0200)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        texts = [f"a{chr(c)}b" for c in points[at : at + 4096]]
+        want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert [mine(t) for t in texts] == want
 
 
 def test_packed_keys_come_back():
@@ -209,13 +222,27 @@ def test_expectation_maximisation_finds_the_mixture():
     rng = np.random.default_rng(2)
     true = np.array([0.6, 0.3, 0.1])
     # three kinds of tokens, each far likelier under one estimate; mixture weights are then their shares
-    x, y = np.array([40, -80, -80]), np.array([-80, 40, -80])
+    p = np.where(np.eye(3, dtype=bool), 0.5, 1e-6)
     n = rng.multinomial(100_000, true).astype(float)
-    got = lm_scoring.learn_weights(np.array([3, 3, 3]), x, y, n)
+    got = lm_scoring.learn_weights(np.array([3, 3, 3]), p, n)
     assert np.abs(got[3] - n / n.sum()).max() < 0.01
     assert np.abs(got[10] - got[3]).max() == 0 and abs(got.sum(axis=1) - 1).max() < 1e-9
 
 
+def test_held_out_tokens_are_tabled_in_steps():
+    word, pair, context = np.array([3, 1, 0, 3]), np.array([2, 0, 0, 2]), np.array([4, 5, 0, 4])
+    keys, times = lm_scoring.held_out_keys(word, pair, context)
+    places = lm_scoring.PLACES
+    found = {(int(k) // places**2, int(k) // places % places, int(k) % places): int(t) for k, t in zip(keys, times, strict=True)}
+    steps = lambda x: 1 + round(math.log(x) / lm_scoring.STEP)
+    assert found == {(3, steps(4 / 2), steps(3)): 2, (3, 0, steps(1)): 1, (0, 0, 0): 1}
+
+
+def test_fine_buckets_cover_their_coarse_one():
+    starts = [x for c in range(5) for x in lm_scoring.fine_starts(c, 5, 3)]
+    assert starts == sorted(set(starts)) and starts[0] == 0 and lm_scoring.fine_starts(4, 5, 3)[0] == 4 * ((1 << 64) // 5)
+
+
 def test_levels_are_powers_of_two():
     assert lm_scoring.level(np.array([0.0, 1, 2, 3, 4, 7, 8])).tolist() == [0, 1, 2, 2, 3, 3, 4]
 
