@@ -365,9 +365,8 @@ def test_op7_scores_equal_the_mixture_of_brute_force_counts(spark, monkeypatch,
     tokens, one, two, n, v = brute_lm(rows, lambda i: i in (5, 12))
     parts = dict(docs.select(F.coalesce("text", F.lit("")), F.pmod(F.xxhash64(F.lit("part"), F.coalesce("text", F.lit(""))), F.lit(lm_scoring.PARTS))).collect())
     exact, table = brute_weights(tokens, [k for k, r in enumerate(rows) if r[0] not in (5, 12)], [parts[t or ""] for _, t in rows])
-    for level, w in exact.items():  # what the steps cost: little in weights, less in likelihood
-        assert np.abs(seen["w"][level] - w).max() < 0.04
-        assert np.log(table[level] @ seen["w"][level]).mean() > np.log(table[level] @ w).mean() - 2e-3
+    for level, w in exact.items():  # what the steps cost in held-out likelihood (words are drawn at random here, so it's flat in the weights)
+        assert np.log(table[level] @ seen["w"][level]).mean() > np.log(table[level] @ w).mean() - 1e-3
     want = []
     for k in range(len(rows)):
         s = 0.0
