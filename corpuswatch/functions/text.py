@@ -25,8 +25,7 @@ def words(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Folded words of two or more characters that are no stop words; the same for queries and documents."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) >= MIN_TERM) & ~F.array_contains(stop, w))
+    return F.filter(words(F.coalesce(text, F.lit(""))), lambda w: (F.length(w) >= MIN_TERM) & ~w.isin(*STOP_WORDS))  # a hash set
 
 
 def collapse(text: Column) -> Column:
@@ -106,6 +105,11 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
 
 
+def host_allowed(url: Column, hosts: Column) -> Column:
+    """Whether the URL's host is one of ``hosts``, an array; a URL without a host, or null, is not."""
+    return F.coalesce((host(url) != "") & F.array_contains(hosts, host(url)), F.lit(False))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
 

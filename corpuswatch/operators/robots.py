@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import product_token, robots_regex
+from ..storage import written
 
 
 def rules(files: DataFrame) -> DataFrame:
@@ -29,21 +30,29 @@ def rules(files: DataFrame) -> DataFrame:
     return agents.join(said, ["host", "group"]).select("host", "agent", "allow", "pattern", "at")
 
 
+#: Parts that a host's requests are dealt in.
+SALT = 16
+
+
 def verdicts(requests: DataFrame, rules: DataFrame, agents: list[str]) -> DataFrame:
     """``requests`` (host, path) with ``allowed``: by the longest pattern that matches, an allow winning a tie, for each of ``agents`` (all must allow).
 
     An agent without a group of its own falls back to that of *; no rule, or
-    none that matches, allows. Rules join on the host, so a request meets only those of its host.
+    none that matches, allows. A request without a host or path can't be held against any rule and is not allowed. Rules join on the host, so a request meets only those of its host;
+    a host's requests are dealt over ``SALT`` parts, each of which gets the host's rules, bounded by the size of a robots file.
     """
     names = [product_token(F.lit(a)) for a in agents]
-    rx = rules.select(F.col("host").alias("_host"), F.col("agent").alias("_agent"), "allow", "pattern", robots_regex(F.col("pattern")).alias("rx"))
-    there = rules.select(F.col("host").alias("_host"), F.col("agent").alias("_agent")).distinct()
-    asked = requests.select("host", "path").distinct().withColumn("agent", F.explode(F.array(*names)))
-    own = asked.join(there, (F.col("host") == F.col("_host")) & (F.col("agent") == F.col("_agent")), "left").select("host", "path", "agent", F.when(F.col("_host").isNotNull(), F.col("agent")).otherwise("*").alias("group"))
-    matched = own.join(rx, (F.col("host") == F.col("_host")) & (F.col("group") == F.col("_agent")) & F.expr("path rlike rx"), "left")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt")
+    rx = rules.select(F.col("host").alias("_host"), F.col("agent").alias("_agent"), "allow", "pattern", robots_regex(F.col("pattern")).alias("rx"), parts)
+    there = rules.select(F.col("host").alias("_host"), F.col("agent").alias("_agent")).distinct().select("*", parts)
+    whole = requests.where("host is not null and path is not null")
+    asked = whole.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int")).withColumn("agent", F.explode(F.array(*names)))
+    own = asked.join(there, F.expr("host = _host and agent = _agent and salt = _salt"), "left").select("host", "path", "salt", "agent", F.when(F.col("_host").isNotNull(), F.col("agent")).otherwise("*").alias("group"))
+    matched = own.join(rx, F.expr("host = _host and `group` = _agent and salt = _salt and path rlike rx"), "left")
     best = matched.groupBy("host", "path", "agent").agg(F.max(F.when(F.col("rx").isNotNull(), F.struct(F.length("pattern").alias("n"), "allow"))).alias("best"))
-    each = best.groupBy("host", "path").agg(F.bool_and(F.coalesce("best.allow", F.lit(True))).alias("allowed"))
-    return requests.join(each, ["host", "path"])
+    each = written(best.groupBy("host", "path").agg(F.bool_and(F.coalesce("best.allow", F.lit(True))).alias("allowed")), "robots-verdicts")  # so that a request made again and again is split
+    nowhere = requests.where("host is null or path is null").withColumn("allowed", F.lit(False))
+    return whole.join(each, ["host", "path"]).select(*requests.columns, "allowed").unionByName(nowhere)
 
 
 def file_state(status: Column) -> Column:

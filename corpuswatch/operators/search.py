@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import K1, B
+from ..storage import written
 
 
 def query_terms(spark: SparkSession, query: str) -> list[str]:
@@ -33,9 +34,9 @@ def search(docs: DataFrame, query: str, k: int = 5, kind: str | None = None, key
     """key, kind and score of the ``k`` best documents: score down, then key up.
 
     Statistics are those of all documents; ``kind`` filters afterwards. A term
-    that the query repeats counts again. One scan turns each text into its
-    length and the counts of the query's distinct terms; the statistics are
-    one row, so nothing but partial sums and the top k is shuffled.
+    that the query repeats counts again. Documents are ranked by the score as it is, not rounded. One scan turns each text into its
+    length and the counts of the query's distinct terms, a narrow table that is written and read
+    twice: for the statistics, one row, and for the hits. Nothing but partial sums and the top k is shuffled.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -47,6 +48,7 @@ def search(docs: DataFrame, query: str, k: int = 5, kind: str | None = None, key
     counted = toks.select(
         key, "kind", F.size("toks").alias("len"), *((F.size("toks") - F.size(F.array_remove("toks", t))).alias(f"f{i}") for i, t in enumerate(distinct))
     )
+    counted = written(counted, "search-counts")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"d{i}") for i in range(len(distinct))))
 
     def part(i: int) -> Column:
@@ -56,7 +58,8 @@ def search(docs: DataFrame, query: str, k: int = 5, kind: str | None = None, key
 
     score = sum((part(distinct.index(t)) for t in terms[1:]), part(distinct.index(terms[0])))
     hits = counted if kind is None else counted.where(F.col("kind") == kind)
-    scored = hits.join(F.broadcast(stats)).select(key, "kind", F.round(score, 6).alias("score"))
+    some = sum((F.col(f"f{i}") for i in range(len(distinct))), F.lit(0)) > 0
+    scored = hits.where(some).join(F.broadcast(stats)).select(key, "kind", score.alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), key).limit(k)
 
 
@@ -81,19 +84,27 @@ class Index:
         self.folder = folder
 
     def load(self, docs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """The tables; built anew if the stored signature is missing or another."""
+        """The tables; built anew if no build of the files' signature is complete.
+
+        A build has a folder of its own, named by the signature, and counts once its
+        ``complete`` file is there, so that a reader sees a whole build or none.
+        """
         spark = docs.sparkSession
-        now = signature(files).first()["signature"]
-        try:
-            stored = spark.read.parquet(f"{self.folder}/signature").first()["signature"]
-        except Exception:  # absent or corrupt: the index is derived, so it is made again
-            stored = None
-        if stored != now or now is None:
-            postings(docs).write.mode("overwrite").parquet(f"{self.folder}/postings")
-            document_frequency(docs).write.mode("overwrite").parquet(f"{self.folder}/terms")
-            docs.select("path", "kind", F.size(tx.tokenize(F.col("text"))).alias("len")).write.mode("overwrite").parquet(f"{self.folder}/docs")
-            spark.createDataFrame([(now,)], "signature string").write.mode("overwrite").parquet(f"{self.folder}/signature")
-        return tuple(spark.read.parquet(f"{self.folder}/{t}") for t in ("postings", "terms", "docs"))
+        now = signature(files).first()["signature"] or "empty"
+        build = f"{self.folder}/{now}"
+        names = ("postings", "terms", "docs")
+        jvm = spark.sparkContext._jvm
+        mark = jvm.org.apache.hadoop.fs.Path(f"{build}/complete")
+        fs = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(mark):
+            tables = (postings(docs), document_frequency(docs), docs.select("path", "kind", F.size(tx.tokenize(F.col("text"))).alias("len")))
+            for name, table in zip(names, tables, strict=True):
+                table.write.mode("overwrite").parquet(f"{build}/{name}")
+            fs.create(mark, True).close()
+            for other in fs.listStatus(mark.getParent().getParent()):  # builds of other signatures, a few
+                if other.getPath().getName() != now:
+                    fs.delete(other.getPath(), True)
+        return tuple(spark.read.parquet(f"{build}/{t}") for t in names)
 
     def search(self, docs: DataFrame, files: DataFrame, query: str, k: int = 5, kind: str | None = None) -> DataFrame:
         """As ``search``, from the tables: the query's terms, a few rows, are broadcast to the postings."""
@@ -108,5 +119,5 @@ class Index:
         rows = posted.join(F.broadcast(known), "term").join(lengths if kind is None else lengths.where(F.col("kind") == kind), "path")
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.when(F.col("avgdl") == 0, 1.0).otherwise(F.col("avgdl"))))
-        scored = rows.groupBy("path", "kind").agg(F.round(F.sum(part), 6).alias("score"))
+        scored = rows.groupBy("path", "kind").agg(F.sum(part).alias("score"))
         return scored.where("score > 0").orderBy(F.desc("score"), "path").limit(k)

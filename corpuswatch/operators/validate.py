@@ -7,12 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.html import private_hosts_column
 from ..functions.text import host, scheme
 from ..schema import ADAPTERS, ADAPTER_OF_TIER, LANGUAGES, SOURCE_KINDS, SOURCE_STATUSES, TIERS
 
-PRIVATE = r"^(localhost|127\..*|10\..*|192\.168\..*|172\.(1[6-9]|2\d|3[01])\..*|169\.254\..*|0\..*|\[?::1\]?)$"
-
-
 def tuple_text(values: tuple[str, ...]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
@@ -39,14 +37,15 @@ def with_defaults(sources: DataFrame) -> DataFrame:
     return sources.withColumn("adapter", F.coalesce(F.when(F.col("adapter") != "", F.col("adapter")), by_tier)).withColumn("allowed_hosts", F.when(filled, F.col("allowed_hosts")).otherwise(own))
 
 
-def source_problems(sources: DataFrame, private: Column | None = None) -> DataFrame:
-    """id and problem of source records. ``private`` is a column of the private ones among allowed_hosts where a full address test is wanted; else the common ranges are matched by a pattern."""
+def source_problems(sources: DataFrame) -> DataFrame:
+    """id and problem of source records, a row per problem. The texts are fixed values: they are what a run reports."""
+    sources = sources.withColumn("_private", private_hosts_column(F.col("allowed_hosts")))
     says = lambda text: F.concat("id", F.lit(f": {text}"))
     one_of = lambda c, domain: (~F.coalesce(F.col(c).isin(*domain), F.lit(False)), says(f"{c} must be one of {tuple_text(domain)}"))
     no_adapter = F.coalesce(F.col("adapter"), F.lit("")) == ""
     hosts = F.col("allowed_hosts")
     listed = F.forall(hosts, lambda h: F.coalesce(h, F.lit("")) != "")
-    private = F.filter(hosts, lambda h: h.rlike(PRIVATE)) if private is None else private
+    private = F.col("_private")
     rules = [
         one_of("tier", TIERS),
         ((F.col("tier") == "api") & no_adapter, says("api tier needs an explicit adapter (eurlex)")),

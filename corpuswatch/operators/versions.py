@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BASE, VERSION = r"\A[0-9]{5}[A-Z]{1,2}[0-9]{4}\z", r"\A0[0-9]{4}[A-Z]{1,2}[0-9]{4}-[0-9]{8}\z"
@@ -13,6 +13,18 @@ def well_formed(versions: DataFrame, version: str = "version", date: str = "date
     return versions.where(F.col(version).rlike(version_rx) & F.col(date).rlike(date_rx))
 
 
+def read_csv(spark: SparkSession, text: str) -> DataFrame:
+    """base, version and date, the first three columns of a lookup's CSV answer; columns that are missing read as empty."""
+    lines = spark.createDataFrame([(line,) for line in text.splitlines()[1:] if line.strip()], "line string")  # a batch's answer is a listing at most
+    row = F.from_csv("line", "base string, version string, date string", {"mode": "PERMISSIVE"}).alias("r")
+    return lines.select(row).select(*(F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in ("base", "version", "date")))
+
+
+def of_base(found: DataFrame) -> DataFrame:
+    """Rows whose version is of their base: a 0, then the base's year, sector and number."""
+    return found.where(F.col("version").startswith(F.concat(F.lit("0"), F.substring("base", 2, 9))))
+
+
 def current_and_next(versions: DataFrame, today: Column, base: str = "base", version: str = "version", date: str = "date", position: str | None = None) -> DataFrame:
     """base, current, current_date, next_version and next_date: the latest version dated up to ``today`` and the earliest after it; dates compare as strings.
 
@@ -38,7 +50,7 @@ def consolidations(wanted: DataFrame, links: DataFrame, ids: DataFrame, dates: D
     wanted(base); links(base, work); ids(work, version); dates(work, date).
     """
     found = wanted.join(links, "base").join(ids, "work").join(dates, "work")
-    return found.where(F.col("version").startswith(F.concat(F.lit("0"), F.substring("base", 2, 9)))).select("base", "version", "date")
+    return of_base(found).select("base", "version", "date")
 
 
 def batches(ids: DataFrame, column: str, size: int) -> DataFrame:

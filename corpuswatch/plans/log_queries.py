@@ -55,26 +55,26 @@ def log_unreadable_rows(spark, sf_dir):
 
 @query(
     f"""WITH last AS (SELECT max(event_id) AS last FROM events WHERE event_id % 2 = 0),
-    new AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id % 100 = 1)
+    new AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS n FROM events)
     SELECT event_id, 'chg-' || CASE WHEN last + n < 10000 THEN lpad(CAST(last + n AS VARCHAR), 4, '0') ELSE CAST(last + n AS VARCHAR) END AS id FROM new CROSS JOIN last"""
 )
 def next_sequential_ids(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     old = events.where("event_id % 2 = 0")
     odd = events.where("event_id % 2 = 0").select(F.concat(F.lit("old-"), F.col("event_id").cast("string")).alias("id"))
-    return logs.with_ids(events.where("event_id % 100 = 1").select("event_id"), ["event_id"], old.select(log_id(F.col("event_id")).alias("id")), odd)
+    return logs.with_ids(events.select("event_id"), ["event_id"], old.select(log_id(F.col("event_id")).alias("id")), odd)
 
 
 _KEYED = "SELECT event_id, event_type AS kind, CASE WHEN user_id % 10 = 0 THEN NULL ELSE user_id END AS source FROM events"
 
 
 @query(
-    f"""WITH rows AS ({_KEYED}), open AS (SELECT DISTINCT kind, source FROM rows WHERE event_id % 2 = 0 AND event_id % 40 = 0)
-    SELECT DISTINCT kind, source FROM rows r WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM open o WHERE o.kind = r.kind AND o.source IS NOT DISTINCT FROM r.source)"""
+    f"""WITH rows AS ({_KEYED}), open AS (SELECT DISTINCT kind, source FROM rows WHERE event_id % 40 = 0)
+    SELECT DISTINCT kind, source FROM rows r WHERE NOT EXISTS (SELECT 1 FROM open o WHERE o.kind = r.kind AND o.source IS NOT DISTINCT FROM r.source)"""
 )
 def refile_suppression(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("source"))
-    return logs.suppress(rows.where("event_id % 2 = 1").select("kind", "source"), rows.where("event_id % 40 = 0"), ["kind", "source"])
+    return logs.suppress(rows.select("kind", "source"), rows.where("event_id % 40 = 0"), ["kind", "source"])
 
 
 @query(
@@ -106,11 +106,10 @@ def run_counters(spark, sf_dir):
 
 
 @query(
-    """SELECT event_id, event_type AS id FROM events e WHERE event_id % 5 = 0
-    AND NOT EXISTS (SELECT 1 FROM events m WHERE m.event_id % 10 = 0 AND m.event_id = e.event_id)"""
+    """SELECT event_id, event_type AS id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events m WHERE m.event_id % 10 = 0 AND m.event_id = e.event_id)"""
 )
 def new_feed_entries(spark, sf_dir):
     from ..operators import manifest
 
     events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("id"))
-    return manifest.new_entries(events.where("event_id % 5 = 0"), events.where("event_id % 10 = 0"), ["event_id"])
+    return manifest.new_entries(events, events.where("event_id % 10 = 0"), ["event_id"])

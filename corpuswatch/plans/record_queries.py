@@ -19,12 +19,12 @@ from .registry import query
 def status_counts_fixed_domain(spark, sf_dir):
     """The domain has a value that never occurs; an obligation is unclear where what must be done or what is said is empty."""
     orders = table(spark, sf_dir, "orders")
-    by = orders.agg(*(F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("O", "open"), ("F", "filled"), ("P", "partial"), ("W", "withdrawn"))))
+    status = F.when(F.col("o_orderstatus") == "O", "binds").when(F.col("o_orderstatus") == "F", "ruled-out").when(F.col("o_orderstatus") == "P", "undetermined")
     must = F.when(F.col("o_totalprice") < 1000, "").otherwise("pay")
     says = F.when(F.col("o_orderpriority") == "5-LOW", "").otherwise("now")
-    fields = F.create_map(F.lit("You must"), must, F.lit("It says"), says)
-    of = orders.select(fields.alias("fields")).agg(F.count(F.lit(1)).alias("obligations"), F.count_if(regimes.unclear(F.col("fields"))).alias("obligations_unclear"))
-    return by.join(F.broadcast(of))
+    obligations = orders.select(F.create_map(F.lit("You must"), must, F.lit("It says"), says).alias("fields"))
+    found = regimes.counts(orders.select(status.alias("status")), obligations)
+    return found.select(F.col("binds").alias("open"), F.col("ruled_out").alias("filled"), F.col("undetermined").alias("partial"), F.col("no_longer_applies").alias("withdrawn"), "obligations", "obligations_unclear")
 
 
 @query("SELECT l_orderkey, l_suppkey, l_linenumber, CAST(r AS INTEGER) AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber) AS r FROM lineitem) WHERE r > 1")

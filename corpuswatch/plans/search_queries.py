@@ -21,7 +21,7 @@ SCORED = f"""
         SELECT path, kind, pos, ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl)) AS part
         FROM tf JOIN df USING (term) CROSS JOIN corpus WHERE f > 0
     ),
-    scored AS (SELECT path, kind, round(sum(part ORDER BY pos), 6) AS score FROM parts GROUP BY path, kind)
+    scored AS (SELECT path, kind, sum(part ORDER BY pos) AS score FROM parts GROUP BY path, kind)
 """
 
 
@@ -29,9 +29,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("kind"), "text")
 
 
-@query(f"WITH {SCORED % (QUERY, QUERY)} SELECT path, kind, score FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10")
+def shown(hits: DataFrame) -> DataFrame:
+    """Scores as they are compared: two engines' last digits differ. The ranking is by the whole score."""
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {SCORED % (QUERY, QUERY)} SELECT path, kind, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10)")
 def bm25_search(spark, sf_dir):
-    return search.search(documents(spark, sf_dir), QUERY, 10)
+    return shown(search.search(documents(spark, sf_dir), QUERY, 10))
 
 
 @query(f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY doc_id, term")
@@ -49,27 +54,27 @@ def bm25_corpus_stats(spark, sf_dir):
     return search.corpus_stats(table(spark, sf_dir, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {SCORED % (QUERY, QUERY)} SELECT path, kind, score FROM scored WHERE score > 0 AND kind = 'fr' ORDER BY score DESC, path LIMIT 10")
+@query(f"WITH {SCORED % (QUERY, QUERY)} SELECT path, kind, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 AND kind = 'fr' ORDER BY score DESC, path LIMIT 10)")
 def bm25_search_kind_filter(spark, sf_dir):
-    return search.search(documents(spark, sf_dir), QUERY, 10, "fr")
+    return shown(search.search(documents(spark, sf_dir), QUERY, 10, "fr"))
 
 
-@query(f"WITH {SCORED % (QUERY + ' ouble', QUERY + ' ouble')} SELECT path, kind, score FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10")
+@query(f"WITH {SCORED % (QUERY + ' ouble', QUERY + ' ouble')} SELECT path, kind, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10)")
 def bm25_duplicate_query_terms(spark, sf_dir):
-    return search.search(documents(spark, sf_dir), f"{QUERY} ouble", 10)
+    return shown(search.search(documents(spark, sf_dir), f"{QUERY} ouble", 10))
 
 
 _AT = f"list_min(list_filter(list_transform({tok(repr(QUERY))}, lambda t: instr(lower(text), t)), lambda p: p > 0))"
 
 
 @query(
-    f"""WITH {SCORED % (QUERY, QUERY)}, hits AS (SELECT path, kind, score FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10)
+    f"""WITH {SCORED % (QUERY, QUERY)}, hits AS (SELECT path, kind, round(score, 6) AS score FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, path LIMIT 10))
     SELECT path, kind, score, {collapsed(f"substring(text, greatest(coalesce({_AT}, 1) - 60, 1), 160)")} AS snippet
     FROM hits JOIN (SELECT 'documents/' || doc_id AS path, text FROM documents) USING (path)"""
 )
 def search_snippet(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    return search.with_snippets(search.search(docs, QUERY, 10), docs, QUERY)
+    return shown(search.with_snippets(search.search(docs, QUERY, 10), docs, QUERY))
 
 
 @query(f"SELECT {hashed('text')} AS content_hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")

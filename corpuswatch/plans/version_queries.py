@@ -77,12 +77,14 @@ def include_prefix_filter(spark, sf_dir):
 
 
 @query(
-    """SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (r <= 3) AS shown, count(*) AS total
-    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) GROUP BY l_orderkey"""
+    """SELECT l_suppkey, string_agg(CAST(item AS VARCHAR), ',' ORDER BY item) FILTER (r <= 20) AS shown, count(*) AS total
+    FROM (SELECT l_suppkey, item, row_number() OVER (PARTITION BY l_suppkey ORDER BY item) AS r FROM (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS item FROM lineitem)) GROUP BY l_suppkey"""
 )
 def changed_top20(spark, sf_dir):
-    lists = freshness.first_items(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", 3)
-    return lists.select("l_orderkey", F.array_join("shown", ",").alias("shown"), "total")
+    """A supplier's lines, of which the first 20 are shown."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"))
+    lists = freshness.first_items(lines, "l_suppkey", "item")
+    return lists.select("l_suppkey", F.array_join("shown", ",").alias("shown"), "total")
 
 
 @query(
@@ -104,10 +106,13 @@ def graph_pattern_join(spark, sf_dir):
     """Works are parts, dates those of shipping: order -> its lines' parts -> their ids."""
     base = F.concat(F.lit("1"), F.lpad((F.col("o_orderkey") % 500).cast("string"), 9, "0"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("work"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"))
-    linked = table(spark, sf_dir, "orders").select("o_orderkey", base.alias("base")).join(lines, "o_orderkey")
     ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("work"), F.concat(F.lit("0"), F.lpad((F.col("p_partkey") % 500).cast("string"), 9, "0"), F.lit("-"), F.col("p_partkey").cast("string")).alias("version"))
-    found = linked.join(ids, "work").where(F.col("version").startswith(F.concat(F.lit("0"), F.substring("base", 2, 9))))
-    return found.select("base", "version", "date")
+    orders = table(spark, sf_dir, "orders").select(base.alias("base"), F.col("o_orderkey").alias("item"))
+    wanted, links = orders.select("base", "item"), lines.select(F.col("o_orderkey").alias("item"), "work").distinct()
+    dates = lines.select(F.col("o_orderkey").alias("item"), "work", "date")
+    keyed = lambda df: df.withColumn("work", F.struct("item", "work"))  # noqa: E731  a line's date is of its order and part
+    ids = ids.join(links, "work").select(F.struct("item", "work").alias("work"), "version")
+    return versions.consolidations(orders.select("base").distinct(), wanted.join(links, "item").select("base", F.struct("item", "work").alias("work")), ids, keyed(dates).select("work", "date"))
 
 
 @query("SELECT p_brand || '/' || p_size AS id, CAST(floor((row_number() OVER (ORDER BY p_brand || '/' || p_size) - 1) / 100) AS BIGINT) AS batch FROM (SELECT DISTINCT p_brand, p_size FROM part)")
@@ -145,8 +150,11 @@ def affects_rollup(spark, sf_dir):
     return freshness.affects(regimes).select("source", F.array_join("affects", ",").alias("affects"))
 
 
-@query("SELECT l_partkey, min(l_orderkey) AS first_order, count(*) AS n, count(DISTINCT l_orderkey) = count(*) AS increasing FROM lineitem GROUP BY l_partkey")
+@query(
+    """SELECT l_orderkey, bool_and(before IS NULL OR before < l_partkey) AS increasing, count(*) AS n
+    FROM (SELECT l_orderkey, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS before FROM lineitem) GROUP BY l_orderkey"""
+)
 def strictly_increasing_check(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem")
-    rising = validate.strictly_increasing(lines, "l_partkey", "l_orderkey", "l_orderkey")
-    return rising.join(lines.groupBy("l_partkey").agg(F.min("l_orderkey").alias("first_order")), "l_partkey")
+    """Whether part numbers rise along an order's lines (of lines with one number, by part)."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey"))
+    return validate.strictly_increasing(lines, "l_orderkey", "at", "l_partkey")

@@ -9,33 +9,47 @@ from __future__ import annotations
 
 import json
 import os
+import subprocess
 from collections.abc import Callable
+from datetime import date
 from pathlib import Path
 from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import html as hx
+from .acquire import Run, host_of
 from .functions import text as tx
 from .operators import freshness, logs, manifest, profile, regimes, search, status, validate, versions
-from .schema import DIMENSIONS, LISTING_BYTES, LOOKUP_BATCH, PENDING, RESOLUTION
-from .sources import frontmatter, listings
+from .schema import DIMENSIONS, LOOKUP_BATCH, PENDING, RESOLUTION
+from .sources import frontmatter
 from .sources import register as files
-from .sources.http import Fetcher, Refused, Unreachable, network_opener
-
-RESULT = "id string, freshness string, version string, detail string, next_version string, next_date string, known_next string, changed array<string>, affects array<string>"
-ITEMS = "source string, `key` string, lastmod string"
-HEADER = r"(?<!\d)(0\d{4}[A-Z]{1,2}\d{4}) — ([A-Z]{2}) — (\d{2})\.(\d{2})\.(\d{4})"
-#: What a version lookup asks of a graph endpoint: the consolidations of a batch of works, with ids and dates.
-LOOKUP = """PREFIX cdm: <http://publications.europa.eu/ontology/cdm#> PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
-SELECT ?baseCelex ?consolCelex ?consolDate WHERE {{ VALUES ?baseCelex {{ {values} }} ?base cdm:resource_legal_id_celex ?baseCelex .
-?consol cdm:act_consolidated_consolidates_resource_legal ?base ; cdm:resource_legal_id_celex ?consolCelex ; cdm:act_consolidated_date ?consolDate .
-FILTER(STRSTARTS(STR(?consolCelex), CONCAT("0", SUBSTR(STR(?baseCelex), 2, 9)))) }} ORDER BY ?baseCelex ?consolDate"""
+from .sources.http import Fetcher, Refused, Unreachable, agent_of, network_opener
+
+RESULT = "id string, freshness string, version string, detail string, next_version string, next_date string, known_next string, changed array<string>, changed_total long, affects array<string>"
+#: What a version lookup asks of a graph endpoint: works that consolidate those of a batch, with their own numbers and dates.
+LOOKUP = """PREFIX cdm: <http://publications.europa.eu/ontology/cdm#>
+PREFIX xsd: <http://www.w3.org/2001/XMLSchema#>
+SELECT ?work ?number ?day
+WHERE {{
+  ?act cdm:resource_legal_id_celex ?work .
+  ?whole cdm:act_consolidated_consolidates_resource_legal ?act .
+  OPTIONAL {{ ?whole cdm:resource_legal_id_celex ?number }}
+  OPTIONAL {{ ?whole cdm:act_consolidated_date ?day }}
+  VALUES ?work {{ {values} }}
+}}"""
 
 
 def default_fetcher(source: dict) -> Fetcher:
-    return Fetcher(network_opener, (source.get("headers") or {}).get("user_agent") or "corpuswatch", source.get("delay_seconds") or 10)
+    return Fetcher(network_opener, agent_of((source.get("headers") or {}).get("user_agent")), source.get("delay_seconds") or 10)
+
+
+def checked_date(text: str) -> str:
+    """YYYY-MM-DD, or an error: dates are stored and compared as text."""
+    try:
+        return date.fromisoformat(text).isoformat()
+    except (TypeError, ValueError) as error:
+        raise ValueError(f"{text!r} is not a date (YYYY-MM-DD)") from error
 
 
 class Register:
@@ -81,6 +95,7 @@ class Register:
 
     def resolve(self, id: str, action: str, by: str, today: str, note: str = "") -> str:
         """"ok", or why nothing was written."""
+        today = checked_date(today)
         asked = self.spark.createDataFrame([(id, action)], "id string, action string")
         verdict = logs.guard_resolutions(asked, self.pending(), self.resolutions()).first()["verdict"]
         if verdict == "ok":
@@ -108,8 +123,11 @@ class Register:
         return found.unionByName(table.where("error is not null").select("path", F.col("error").alias("problem")))
 
     def _profile(self) -> dict:
-        with open(self.path("profile.md"), encoding="utf-8") as file:
-            return frontmatter.parse(file.read())[0]
+        """The profile's fields. One that can't be read has none but says why under ``unreadable``, so that it stops no run over sources."""
+        try:
+            return frontmatter.parse(Path(self.path("profile.md")).read_text(encoding="utf-8"))[0]
+        except (OSError, UnicodeDecodeError, frontmatter.FrontmatterError) as error:
+            return {"unreadable": f"unreadable: {error}"}
 
     def answers(self, meta: dict | None = None) -> DataFrame:
         """slug, value (JSON), status of the answers that are mappings."""
@@ -119,32 +137,47 @@ class Register:
 
     def profile_problems(self) -> DataFrame:
         meta = self._profile()
-        return profile.checks(self.answers(meta), F.lit(sum(bool(meta.get(k)) for k in ("confirmed_by", "confirmed_at")))).orderBy("ordinal")
-
-    def profile_diff(self, older: str) -> list[str]:
-        """Slugs whose value differs from that of an older profile's text, in order."""
-        found = profile.diff(profile.domain(self.spark), self.answers(frontmatter.parse(older)[0]), self.answers())
+        found = profile.checks(self.answers(meta), F.lit(sum(bool(meta.get(k)) for k in ("confirmed_by", "confirmed_at"))))
+        if "unreadable" in meta:
+            row = [(-1, meta["unreadable"], True)]
+            found = found.unionByName(self.spark.createDataFrame(row, "ordinal int, problem string, blocks boolean"), allowMissingColumns=True)
+        return found.orderBy("ordinal")
+
+    def older_profile(self, against: str) -> dict:
+        """The fields of a profile in a file, or of this one as a git reference has it."""
+        if os.path.isfile(against):
+            return frontmatter.parse(Path(against).read_text(encoding="utf-8"))[0]
+        got = subprocess.run(["git", "show", "--end-of-options", f"{against}:./profile.md"], cwd=self.folder, capture_output=True, text=True, check=False)
+        if got.returncode:
+            raise files.RegisterError(got.stderr.strip() or f"cannot read {against}")
+        return frontmatter.parse(got.stdout)[0]
+
+    def profile_diff(self, against: str) -> list[str]:
+        """Slugs whose value differs from that of an older profile (a file or a git reference), in order."""
+        found = profile.diff(profile.domain(self.spark), self.answers(self.older_profile(against)), self.answers())
         return [r["slug"] for r in found.orderBy("ordinal").collect()]
 
     def sources(self) -> DataFrame:
         return files.read_sources(self.spark, self.path("sources.json"))
 
     def source_problems(self) -> DataFrame:
-        table = self.sources().withColumn("_private", F.filter("allowed_hosts", lambda h: h.rlike(validate.PRIVATE)))
-        return validate.source_problems(table, F.col("_private"))
+        return validate.source_problems(self.sources())
 
     def status(self) -> dict:
         good = self.regimes().where("error is null")
         last = self.path("last-check")
         checked = Path(last).read_text(encoding="utf-8").strip() if os.path.isfile(last) else None
-        meta = self._profile() if os.path.isfile(self.path("profile.md")) else {}
+        meta = self._profile()
         return status.report(self.answers(meta), good, regimes.obligations(good), self.lines("pending.jsonl"), self.lines("resolutions.jsonl"), checked).first().asDict()
 
     # --- search ---------------------------------------------------------------
 
     def search(self, query: str, k: int = 5, kind: str | None = None) -> DataFrame:
+        """The best documents with snippets, from the stored index, which is made anew where files have changed."""
         docs = frontmatter.read(self.spark, self.folder).select("path", tx.kind_of(F.col("path")).alias("kind"), "text")
-        return search.with_snippets(search.search(docs, query, k, kind), docs, query)
+        sized = docs.select("path", F.octet_length("text").alias("size"), F.sha2("text", 256).alias("hash"))
+        hits = search.Index(self.path("search-index")).search(docs, sized, query, k, kind)
+        return search.with_snippets(hits.where(~F.col("path").startswith("../") & ~F.col("path").contains("/../")), docs, query)
 
     # --- runs -------------------------------------------------------------------
 
@@ -164,36 +197,19 @@ class Register:
         shown = "public" if (source["licence"] or {}).get("redistribute") is True else "private"
         return self.path(f"mirror/{shown}/{files.safe_component(source['jurisdiction'].lower())}/{files.safe_component(source['id'])}")
 
-    def _listing(self, source: dict, client: Fetcher) -> list[dict]:
-        """What a sitemap or feed lists: key, link, lastmod, title."""
-        body = self._body(client, source, source["url"])
-        make = lambda b: self.spark.createDataFrame([(source["id"], b)], "source string, body string")
-        why = make(body).select(listings.guard(F.col("body"))).first()[0]
-        if why:
-            raise Unreachable(f"{source['url']}: {why}")
-        if source["adapter"] == "feed":
-            rows = listings.feed(make(body)).orderBy("position").collect()
-            return [{"key": r["id"], "link": r["link"], "lastmod": r["published"], "title": r["title"]} for r in rows]
-        bodies = [body]
-        children = [r["loc"] for r in listings.sitemap_children(make(body)).orderBy("position").collect()]
-        if children:
-            bodies = [self._body(client, source, c) for c in children]
-        whole = self.spark.createDataFrame([(source["id"], k, b) for k, b in enumerate(bodies)], "source string, part int, body string")
-        rows = listings.sitemap(whole.select(F.concat_ws("\t", "source", F.lpad(F.col("part").cast("string"), 4, "0")).alias("source"), "body"))
-        rows = listings.included(rows, (source["config"] or {}).get("include") or [])
-        kept = listings.capped(rows.withColumn("one", F.lit(1)), "one", ["source", "position"]).orderBy("source", "position").collect()
-        return [{"key": r["loc"], "link": r["loc"], "lastmod": r["lastmod"], "title": None} for r in kept]
-
-    def _body(self, client: Fetcher, source: dict, url: str) -> str:
-        code, _, body, _ = client.get(url, source["allowed_hosts"], budget=LISTING_BYTES)
-        if code != 200:
-            raise Unreachable(f"{url}: HTTP {code}")
-        return body.decode("utf-8", "replace")
-
-    def _markdown(self, client: Fetcher, source: dict, url: str) -> str | None:
-        code, _, body, _ = client.get(url, source["allowed_hosts"])
-        text = body.decode("utf-8", "replace")
-        return hx.html_to_markdown(text, url) if code == 200 and hx.opens_as_html(text) else None
+    def _stored(self, chosen: list[dict]) -> DataFrame:
+        """The manifests' rows of the chosen sources."""
+        texts = []
+        for s in chosen:
+            try:
+                texts.append((s["id"], Path(self._mirror(s), "MANIFEST.json").read_text(encoding="utf-8")))
+            except (OSError, UnicodeDecodeError):
+                continue
+        found = manifest.read_manifests(self.spark.createDataFrame(texts, "source_id string, value string"))
+        return found.select(F.col("source_id").alias("source"), "key", "lastmod", "hash")
+
+    def _run(self, chosen: list[dict]) -> Run:
+        return Run(self.spark, chosen, self.fetcher)
 
     def _versions(self, sources: list[dict], today: str) -> dict[str, dict]:
         """What is in force and next of the api tier's works, asked for in batches; a failed batch's error is each member's."""
@@ -204,73 +220,49 @@ class Register:
             first = next(s for s in sources if (s["config"] or {}).get("celex") in batch)
             query = LOOKUP.format(values=" ".join(f'"{c}"^^xsd:string' for c in batch))
             try:
-                code, _, body, _ = self.fetcher(first).get(f"{self.api[0]}?{urlencode({'query': query, 'format': 'text/csv'})}", None)
+                hosts = [*(first["allowed_hosts"] or []), *host_of(self.api[0])]
+                code, _, body, _ = self.fetcher(first).get(f"{self.api[0]}?{urlencode({'query': query, 'format': 'text/csv'})}", hosts)
                 if code != 200:
                     raise Unreachable(f"lookup: HTTP {code}")
-                table = self.spark.read.csv(self.spark.sparkContext.parallelize(body.decode("utf-8", "replace").splitlines(), 1), header=True)
-                rows = table.toDF("base", "version", "date").where(F.col("base").isin(batch))
+                rows = versions.of_base(versions.read_csv(self.spark, body.decode("utf-8", "replace"))).where(F.col("base").isin(batch))
                 found = {r["base"]: r.asDict() for r in versions.current_and_next(versions.well_formed(rows), F.lit(today)).collect()}
                 out |= {c: found.get(c, {"current": None, "next_version": None, "next_date": None}) for c in batch}
             except (Refused, Unreachable, ValueError) as error:
                 out |= {c: {"error": str(error)} for c in batch}
         return out
 
-    def _look(self, source: dict, known: dict[str, dict]) -> dict:
-        """One source's state: listing or pages against its manifest, or its version against the last."""
-        stored = self._manifest(source)
-        row = {"id": source["id"], "version": None, "next_version": None, "next_date": None, "known_next": source["next_version"], "changed": []}
-        try:
-            if source["adapter"] == "eurlex":
-                now = known[(source["config"] or {})["celex"]]
-                if now.get("error") or not now["current"]:
-                    return row | {"freshness": "unreachable", "detail": now.get("error") or "no consolidation in the graph"}
-                moved = now["current"] != source["last_version"]
-                return row | {"freshness": "moved" if moved else "fresh", "version": now["current"], "next_version": now["next_version"], "next_date": now["next_date"], "changed": [now["current"]] * moved, "detail": f"version {now['current']}"}
-            client = self.fetcher(source)
-            failed: list[str] = []
-            if source["adapter"] in ("sitemap", "feed"):
-                items = [(i["key"], i["lastmod"], None) for i in self._listing(source, client)]
-            else:
-                items = []
-                for url in (source["config"] or {}).get("urls") or [source["url"]]:
-                    try:
-                        text = self._markdown(client, source, url)
-                        items.append((url, None, text)) if text is not None else failed.append(f"{url}: not html")
-                    except (Refused, Unreachable) as error:
-                        failed.append(f"{url}: {error}")
-            table = self.spark.createDataFrame([(k, m, t) for k, m, t in items], "key string, lastmod string, markdown string").withColumn("hash", tx.content_hash(F.col("markdown")))
-            old = self.spark.createDataFrame([(k, v.get("lastmod"), v.get("hash")) for k, v in stored.items()], "key string, lastmod string, hash string")
-            kind = {"feed": "feed", "sitemap": "sitemap"}.get(source["adapter"], "page-hash")
-            seen = manifest.compare(table, old, ["key"], None if kind == "page-hash" else "lastmod", "hash" if kind == "page-hash" else None)
-            changed = [r["key"] for r in seen.where("not known" if kind == "feed" else "changed").orderBy("key").collect()]
-            state = self.spark.range(1).select(freshness.decide(F.lit(kind), F.lit(len(items)), F.lit(len(changed)), F.lit(len(failed)))).first()[0]
-            tail = "; unreachable: " + "; ".join(failed) if failed else ""
-            return row | {"freshness": state, "changed": changed, "detail": f"{len(changed)} of {len(items)} changed{tail}"}
-        except Exception as error:  # a source that fails is unreachable, and the others go on
-            return row | {"freshness": "unreachable", "detail": f"{type(error).__name__}: {error}"}
+    def _version_state(self, source: dict, known: dict[str, dict]) -> dict:
+        now = known.get((source["config"] or {}).get("celex"), {"error": "no version number to look up"})
+        if now.get("error") or not now["current"]:
+            return {"freshness": "unreachable", "detail": now.get("error") or "no consolidation in the graph"}
+        moved = now["current"] != source["last_version"]
+        return {"freshness": "moved" if moved else "fresh", "version": now["current"], "next_version": now["next_version"], "next_date": now["next_date"], "changed": [now["current"]] * moved, "n_changed": int(moved), "detail": f"version {now['current']}"}
 
     def check(self, today: str, ids: list[str] | None = None) -> dict:
         """Did any source move? Files what is new and stores states, never versions."""
+        today = checked_date(today)
         chosen, refused = self._chosen(ids, False)
         report = {"fresh": 0, "moved": 0, "unreachable": 0, "exit": 2 if refused or not chosen else 0, "details": dict(refused)}
         if chosen and not refused:
-            known = self._versions(chosen, today)
-            looked = [self._look(s, known) for s in chosen]
+            known, run = self._versions(chosen, today), self._run(chosen)
+            states = run.states(self._stored(chosen)) | {s["id"]: self._version_state(s, known) for s in chosen if s["adapter"] == "eurlex"}
+            run.done()
             cited = {r["source"]: r["affects"] for r in freshness.affects(self.regimes()).collect()}
-            rows = self.spark.createDataFrame([tuple((r | {"affects": cited.get(r["id"], [])})[c] for c in ("id", "freshness", "version", "detail", "next_version", "next_date", "known_next", "changed", "affects")) for r in looked], RESULT)
+            names = [x.split()[0] for x in RESULT.split(", ")]
+            looked = [{"id": s["id"], "known_next": s["next_version"], "affects": cited.get(s["id"], [])} | states[s["id"]] for s in chosen]
+            rows = self.spark.createDataFrame([tuple((r | {"changed": r.get("changed") or [], "changed_total": r.get("n_changed") or 0}).get(c) for c in names) for r in looked], RESULT)
             counts = freshness.run_report(rows).first().asDict()
             report |= counts | {"details": {r["id"]: r["detail"] for r in looked}}
             open_now = self.open().select("kind", "source", "to", "affects")
             stale = open_now.where("kind = 'profile-stale'").count() > 0
             filed = freshness.filings(rows, open_now.select("kind", "source", "to"))
-            lists = rows.select(F.col("id").alias("source"), F.slice("changed", 1, 20).alias("changed"), F.size("changed").alias("changed_total"))
+            lists = rows.select(F.col("id").alias("source"), "changed", "changed_total")
             moved = filed.join(lists, "source").withColumns({c: F.when(F.col("kind") == "source-moved", F.col(c)) for c in ("changed", "changed_total")})
             self.file(moved, ["source", "kind"], today)
-            by = {r["id"]: r for r in looked}
-            self._store_sources({s["id"]: {"last_checked": today, "last_status": by[s["id"]]["freshness"]} | ({"next_version": by[s["id"]]["next_version"]} if by[s["id"]]["next_version"] else {}) for s in chosen})
+            self._store_sources({r["id"]: {"last_checked": today, "last_status": r["freshness"]} | ({"next_version": r["next_version"]} if r.get("next_version") else {}) for r in looked})
             Path(self.path("last-check")).write_text(today + "\n", encoding="utf-8")
-            meta = self._profile() if os.path.isfile(self.path("profile.md")) else None
-            if freshness.profile_stale(counts["moved"] > 0, meta is not None, stale, str((meta or {}).get("confirmed_at") or "") or None, today):
+            meta = self._profile()
+            if freshness.profile_stale(counts["moved"] > 0, "unreadable" not in meta, stale, str(meta.get("confirmed_at") or "") or None, today):
                 self.file(self.spark.createDataFrame([("profile-stale", "info", "a source moved since the profile was confirmed")], "kind string, severity string, summary string"), ["kind"], today)
         if not refused:
             due = freshness.dates_passed(self.regimes(), self.open(), today)
@@ -286,100 +278,93 @@ class Register:
 
     def fetch(self, today: str, ids: list[str] | None = None, force: bool = False) -> dict:
         """Brings the mirror up to date; a source's manifest keeps what was written before it failed."""
+        today = checked_date(today)
         chosen, refused = self._chosen(ids, True)
         report = {"written": 0, "skipped": 0, "refused": sorted(refused), "details": dict(refused), "exit": 2 if refused else 0}
         if refused:
             return report
-        known, changes, lost = self._versions(chosen, today), {}, []
-        for source in chosen:
-            if source["tier"] == "refuse":
-                report["refused"].append(source["id"])
-                report["exit"] = 2 if ids else report["exit"]
-                continue
-            stored, done = self._manifest(source), {"written": 0, "skipped": 0, "refused": [], "version": None}
-            try:
-                self._acquire(source, self.fetcher(source), stored, done, known, today, force)
-            except Exception as error:  # as in check
-                done["refused"].append(f"{type(error).__name__}: {error}")
-            finally:
-                files.write_json(f"{self._mirror(source)}/MANIFEST.json", stored)
-            report["written"] += done["written"]
-            report["skipped"] += done["skipped"]
-            if done["refused"]:
-                report["details"][source["id"]] = done["refused"]
+        never = sorted(s["id"] for s in chosen if s["tier"] == "refuse")
+        report["refused"] += never
+        report["exit"] = 2 if never and ids else report["exit"]
+        chosen = [s for s in chosen if s["tier"] != "refuse"]
+        done = {s["id"]: {"written": 0, "skipped": 0, "refused": [], "version": None} for s in chosen}
+        stored, run = {s["id"]: self._manifest(s) for s in chosen}, self._run(chosen)
+        try:
+            self._acquire(run, chosen, stored, done, today, force)
+            self._acquire_articles(chosen, stored, done, self._versions(chosen, today), today, force)
+        finally:  # what was written counts, whatever came after
+            run.done()
+            for s in chosen:
+                files.write_json(f"{self._mirror(s)}/MANIFEST.json", stored[s["id"]])
+        for id, d in done.items():
+            report["written"] += d["written"]
+            report["skipped"] += d["skipped"]
+            if d["refused"]:
+                report["details"][id] = d["refused"]
                 report["exit"] = max(report["exit"], 1)
-                lost.append((source["id"], "fetch refused: " + "; ".join(done["refused"])))
-            if done["written"]:
-                changes[source["id"]] = {"last_fetched": today} | ({"last_version": done["version"]} if done["version"] else {})
+        lost = [(id, "fetch refused: " + "; ".join(d["refused"])) for id, d in done.items() if d["refused"]]
         if lost:
             rows = self.spark.createDataFrame(lost, "source string, summary string").select(F.lit("source-unreachable").alias("kind"), F.lit("info").alias("severity"), "source", "summary")
             self.file(logs.suppress(rows, self.open(), ["kind", "source"]), ["source"], today)
+        changes = {id: {"last_fetched": today} | ({"last_version": d["version"]} if d["version"] else {}) for id, d in done.items() if d["written"]}
         if changes:
             self._store_sources(changes)
         return report
 
-    def _acquire(self, source: dict, client: Fetcher, stored: dict, done: dict, known: dict, today: str, force: bool) -> None:
-        if source["adapter"] == "eurlex":
-            return self._acquire_articles(source, client, stored, done, known, today, force)
-        if source["adapter"] in ("sitemap", "feed"):
-            items = self._listing(source, client)
-        else:
-            items = [{"key": u, "link": u, "lastmod": None, "title": None} for u in (source["config"] or {}).get("urls") or [source["url"]]]
-        hashed = source["adapter"] == "pagehash"
-        for item in items:
-            old = stored.get(item["key"])
-            same = old and (source["adapter"] == "feed" or (item["lastmod"] and old.get("lastmod") == item["lastmod"]))
-            if same and not hashed and not force:
-                done["skipped"] += 1
-                continue
-            try:
-                text = self._markdown(client, source, item["link"])
-            except (Refused, Unreachable):
-                text = None
-            if text is None:
-                done["refused"].append(item["link"])
-                continue
-            digest, name = self.spark.range(1).select(tx.content_hash(F.lit(text)), tx.page_path(F.lit(item["key"]))).first()
-            if hashed and old and old.get("hash") == digest and not force:
-                done["skipped"] += 1
-                continue
-            self._page(source, name, {"source_url": item["link"], "lastmod": item["lastmod"], "title": item["title"]}, text, digest, today)
-            stored[item["key"]] = {"fetched": today, "lastmod": item["lastmod"], "hash": digest, "path": name, "version": None}
-            done["written"] += 1
+    def _acquire(self, run: Run, chosen: list[dict], stored: dict, done: dict, today: str, force: bool) -> None:
+        """Pages come back one partition at a time and are written to the folder one by one."""
+        by = {s["id"]: s for s in chosen}
+        if not run.of(lambda a: a.kind != "version"):
+            return
+        rows, skipped, failed = run.wanted(self._stored(chosen), force)
+        for r in rows.toLocalIterator():
+            self._page(by[r["source"]], r["path"], {"source_url": r["url"], "lastmod": r["lastmod"], "title": r["title"]}, r["markdown"], r["hash"], today)
+            stored[r["source"]][r["key"]] = {"fetched": today, "lastmod": r["lastmod"], "hash": r["hash"], "path": r["path"], "version": None}
+            done[r["source"]]["written"] += 1
+        for r in skipped.collect():  # a row a source
+            done[r["source"]]["skipped"] = r["skipped"]
+        for r in failed.orderBy("source", "error").toLocalIterator():
+            done[r["source"]]["refused"].append(r["error"])
 
     def _page(self, source: dict, name: str, meta: dict, text: str, digest: str, today: str) -> None:
         licence = source["licence"] or {}
         base = {"source": source["id"], "source_url": source["url"], "retrieved_at": today, "content_hash": digest, "licence_name": licence.get("name"), "attribution": licence.get("attribution")}
         frontmatter.save(files.contained(self._mirror(source), name), base | {k: v for k, v in meta.items() if v is not None}, text)
 
-    def _acquire_articles(self, source: dict, client: Fetcher, stored: dict, done: dict, known: dict, today: str, force: bool) -> None:
-        now = known[source["config"]["celex"]]
-        if now.get("error") or not now["current"]:
-            done["refused"].append(f"resolve: {now.get('error') or 'no consolidation in force'}")
-            return
-        current = now["current"]
-        if current == source["last_version"] and not force:
-            done["skipped"] += 1
-            return
-        url, lang = f"{self.api[1]}/{current}", (source["config"].get("language") or "EN").upper()
-        code, headers, body, _ = client.get(url, None, {"Accept": "application/xhtml+xml", "Accept-Language": lang.lower()})
-        page = self.spark.createDataFrame([(code, headers.get("Content-Type", ""), body.decode("utf-8", "replace"))], "status int, kind string, html string")
-        guard = page.select(article_guard(F.col("status"), F.col("kind"), F.col("html"), current, lang)).first()[0]
-        if guard:
-            done["refused"].append(guard)
+    def _acquire_articles(self, chosen: list[dict], stored: dict, done: dict, known: dict, today: str, force: bool) -> None:
+        """The articles of versions that aren't stored yet, each with the text's banner."""
+        by, current = {s["id"]: s for s in chosen if s["adapter"] == "eurlex"}, {}
+        for id, source in by.items():
+            now = known.get((source["config"] or {}).get("celex"), {"error": "no version number to look up"})
+            if now.get("error") or not now["current"]:
+                done[id]["refused"].append(f"resolve: {now.get('error') or 'no consolidation in force'}")
+            elif now["current"] == source["last_version"] and not force:
+                done[id]["skipped"] += 1
+            else:
+                current[id] = now["current"]
+        if not current:
             return
-        day = page.select(tx.iso_date(F.lit(current.split("-")[1]))).first()[0]
-        banner = f"> Converted from HTML and split by article; only the official text is authentic. Source: {url}\n\n"
-        for number, text in sorted(hx.articles(page.first()["html"]).items()):
-            name, key = f"{current}/art_{number}.md", f"{url}#art_{number}"
-            digest, whole = self.spark.range(1).select(tx.content_hash(F.lit(text)), tx.content_hash(F.lit(banner + text))).first()
-            self._page(source, name, {"source_url": key, "consolidated_date": day, "language": lang, "article": number, "authentic_url": source["url"]}, banner + text, whole, today)
-            stored[key] = {"fetched": today, "lastmod": day, "hash": digest, "path": name, "version": current}
-            done["written"] += 1
-        done["version"] = current
+        run = Run(self.spark, list(by.values()), self.fetcher, host_of(self.api[1]))
+        try:
+            parts, failed = run.consolidated(current, self.api[1])
+            for r in failed.collect():  # a row a source at most
+                done[r["source"]]["refused"].append(r["error"])
+            banner = F.concat(F.lit("> Converted from HTML and split by article; only the official text is authentic. Source: "), "url", F.lit("\n\n"))
+            day = tx.iso_date(F.split_part("version", F.lit("-"), F.lit(2)))
+            whole = parts.withColumn("text", F.concat(banner, "markdown")).withColumn("hash", tx.content_hash(F.col("text"))).withColumn("day", day)
+            for r in whole.orderBy("source", "number").toLocalIterator():
+                name, key = f"{r['version']}/art_{r['number']}.md", f"{r['url']}#art_{r['number']}"
+                source = by[r["source"]]
+                self._page(source, name, {"source_url": key, "consolidated_date": r["day"], "language": r["lang"], "article": r["number"], "authentic_url": source["url"]}, r["text"], r["hash"], today)
+                stored[r["source"]][key] = {"fetched": today, "lastmod": r["day"], "hash": r["hash"], "path": name, "version": r["version"]}
+                done[r["source"]]["written"] += 1
+                done[r["source"]]["version"] = r["version"]
+        finally:
+            run.done()
 
     def rescan(self, today: str) -> dict:
         """What changed in the confirmed answers since the last scan, filed by the regimes it touches."""
+        today = checked_date(today)
         blocking = [r["problem"] for r in self.profile_problems().where("blocks").collect()]
         if blocking:
             return {"changed": [], "entries": 0, "error": "; ".join(blocking), "exit": 2}
@@ -395,20 +380,3 @@ class Register:
             self.file(drift.select("ordinal", "kind", "severity", "affects", says.alias("summary")).drop("ordinal"), ["summary", "kind"], today)
         files.write_json(self.path("profile.snapshot.json"), {r["slug"]: json.loads(r["value"]) for r in current.collect() if r["slug"] in DIMENSIONS and r["value"] is not None})
         return {"changed": list(dict.fromkeys(r["slug"] for r in found)), "entries": len(found), "exit": 0}
-
-
-def article_guard(status, kind, html, current: str, lang: str):
-    """The first of five structural checks that a consolidated page fails, null if none."""
-    version, _, day = current.partition("-")
-    part = lambda k: F.regexp_extract(html, HEADER, k)
-    numbers = F.transform(F.regexp_extract_all(html, F.lit(r'id="art_(\d+)"'), F.lit(1)), lambda n: n.cast("int"))
-    rising = F.forall(F.sequence(F.lit(1), F.size(numbers) - 1), lambda k: F.get(numbers, k - 1) < F.get(numbers, k))
-    return validate.first_failure(
-        [
-            ((status == 200) & kind.rlike(r"^(text/html|application/xhtml\+xml)"), "G1: not an HTML 200"),
-            (html.contains('class="disclaimer"'), "G2: disclaimer missing"),
-            (F.size(numbers) > 0, "G3: no article anchors"),
-            ((part(1) == version) & (part(2) == lang) & (F.concat(part(5), part(4), part(3)) == day), "G4: header is of another text, language or date"),
-            ((F.size(numbers) == 1) | rising, "G5: article anchors not unique and increasing"),
-        ]
-    )

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, looks_like_html
+from ..functions.text import looks_like_html
 from ..schema import LISTING_CHILDREN, LISTING_PAGES
 
-TAG = "(?:[A-Za-z_][A-Za-z0-9_.-]*:)?"
+PARSED = "error string, kind string, items array<struct<id:string,link:string,date:string,title:string>>, children array<string>"
+# Namespaces of the two XML vocabularies.
+MAPS, ATOM = "{http://www.sitemaps.org/schemas/sitemap/0.9}", "{http://www.w3.org/2005/Atom}"
 
 
 def guard(body: Column) -> Column:
@@ -17,50 +22,72 @@ def guard(body: Column) -> Column:
     return F.when(looks_like_html(body), "listing is HTML").when(head.contains("<!DOCTYPE") | head.contains("<!ENTITY"), "listing declares a document type")
 
 
-def _all(body: Column, element: str) -> Column:
-    return F.regexp_extract_all(body, F.lit(rf"(?s)<{TAG}{element}(?:\s[^>]*)?>(.*?)</{TAG}{element}\s*>"), F.lit(1))
+def _text(x: ET.Element, name: str) -> str:
+    return (x.findtext(name) or "").strip()
+
+
+def _entry(x: ET.Element) -> tuple:
+    usual = (link.get("href") or "" for link in x.iterfind(f"{ATOM}link") if link.get("rel") in (None, "alternate"))
+    link = next(usual, "").strip()
+    return _text(x, f"{ATOM}id") or link, link, _text(x, f"{ATOM}published") or _text(x, f"{ATOM}updated") or None, _text(x, f"{ATOM}title")
+
+
+def _item(x: ET.Element) -> tuple:
+    link = _text(x, "link")
+    return _text(x, "guid") or link, link, _text(x, "pubDate") or None, _text(x, "title")
+
+
+def read_listing(body: str) -> dict:
+    """``PARSED`` of one listing that passed the guard: a sitemap, an index of sitemaps, an Atom feed, or else RSS items."""
+    out = {"error": None, "kind": None, "items": [], "children": []}
+    try:
+        root = ET.fromstring(body.lstrip("\ufeff \t\r\n"))
+    except (ET.ParseError, ValueError, LookupError) as error:  # a listing cut short lists nothing for sure
+        return out | {"error": f"listing is not XML: {error}"}
+    name = root.tag.removeprefix(MAPS)
+    if name == "sitemapindex":
+        return out | {"kind": "index", "children": [loc for x in root.iter(f"{root.tag[: -len(name)]}sitemap") if (loc := _text(x, f"{root.tag[: -len(name)]}loc"))]}
+    if name == "urlset":
+        own = root.tag[: -len(name)]
+        rows = ((_text(x, f"{own}loc"), _text(x, f"{own}lastmod") or None) for x in root.iterfind(f"{own}url"))
+        return out | {"kind": "sitemap", "items": [(loc, loc, day, None) for loc, day in rows if loc]}
+    found = map(_entry, root.iterfind(f"{ATOM}entry")) if root.tag == f"{ATOM}feed" else map(_item, root.iter("item"))
+    return out | {"kind": "feed", "items": [x for x in found if x[0] and x[1]]}
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """files (source, body) with ``listing`` (``PARSED``); its error says why a guarded or malformed body, or a null one, isn't read. An Arrow-batched parse of whole bodies, which are bounded by the fetcher's budget."""
 
+    def read(why: pd.Series, body: pd.Series) -> pd.DataFrame:
+        empty = {"kind": None, "items": [], "children": []}
+        rows = [{"error": w, **empty} if isinstance(w, str) else read_listing(b) if isinstance(b, str) else {"error": "no listing", **empty} for w, b in zip(why, body, strict=True)]
+        return pd.DataFrame(rows, columns=["error", "kind", "items", "children"])
 
-def _text(xml: Column, element: str) -> Column:
-    """The first such element's text, unescaped and trimmed; null if it is missing."""
-    raw = F.get(_all(xml, element), F.lit(0))
-    cdata = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        cdata = F.replace(cdata, F.lit(f"&{name};"), F.lit(char))
-    return F.trim(F.regexp_replace(cdata, SPACE, " "))
+    read.__annotations__ = {"why": pd.Series, "body": pd.Series, "return": pd.DataFrame}  # postponed ones don't resolve in here
+    return files.withColumn("listing", F.pandas_udf(read, PARSED)(guard(F.col("body")), F.col("body")))
 
 
-def _some(c: Column) -> Column:
-    return F.when(c != "", c)
+def errors(files: DataFrame) -> DataFrame:
+    """source and error of files that can't be read as a listing."""
+    return parsed(files).where("listing.error is not null").select("source", F.col("listing.error").alias("error"))
 
 
 def sitemap(files: DataFrame) -> DataFrame:
-    """files (source, body) -> source, position, loc, lastmod of url elements with a loc; guarded files give none."""
-    rows = files.where(guard(F.col("body")).isNull()).select("source", F.posexplode(_all(F.col("body"), "url")).alias("position", "u"))
-    return rows.select("source", "position", _text(F.col("u"), "loc").alias("loc"), _some(_text(F.col("u"), "lastmod")).alias("lastmod")).where("loc <> ''")
+    """files (source, body) -> source, position, loc, lastmod of url elements with a loc; files with an error give none."""
+    rows = parsed(files).where("listing.kind = 'sitemap'").select("source", F.posexplode("listing.items").alias("position", "x"))
+    return rows.select("source", "position", F.col("x.link").alias("loc"), F.col("x.date").alias("lastmod"))
 
 
 def sitemap_children(files: DataFrame, most: int = LISTING_CHILDREN) -> DataFrame:
     """source, position, loc of an index's child sitemaps, the first ``most``; n is how many it lists."""
-    is_index = F.col("body").rlike(rf"<{TAG}sitemapindex[\s>]")
-    rows = files.where(is_index & guard(F.col("body")).isNull()).select("source", F.transform(_all(F.col("body"), "sitemap"), lambda x: _text(x, "loc")).alias("locs"))
-    rows = rows.withColumn("locs", F.filter("locs", lambda x: x != "")).withColumn("n", F.size("locs"))
-    return rows.select("source", "n", F.posexplode(F.slice("locs", 1, most)).alias("position", "loc"))
+    rows = parsed(files).where("listing.kind = 'index'").select("source", F.col("listing.children").alias("locs"))
+    return rows.select("source", F.size("locs").alias("n"), F.posexplode(F.slice("locs", 1, most)).alias("position", "loc"))
 
 
 def feed(files: DataFrame) -> DataFrame:
     """files (source, body) -> source, position, id, title, published, link of RSS items and Atom entries that have an id and a link."""
-    ok = files.where(guard(F.col("body")).isNull())
-    atom = F.col("body").rlike(rf"<{TAG}feed[\s>]")
-    links = F.regexp_extract_all(F.col("e"), F.lit(rf"<{TAG}link\s[^>]*>"), F.lit(0))
-    usual = F.filter(links, lambda x: ~x.rlike(r"\srel\s*=") | x.rlike(r"""\srel\s*=\s*["']alternate["']"""))
-    href = F.regexp_extract(F.coalesce(F.get(usual, F.lit(0)), F.lit("")), r"""\shref\s*=\s*["']([^"']*)["']""", 1)
-    entries = ok.where(atom).select("source", F.posexplode(_all(F.col("body"), "entry")).alias("position", "e")).withColumn("link", href)
-    e, i = F.col("e"), F.col("i")
-    entries = entries.select("source", "position", F.coalesce(_some(_text(e, "id")), "link").alias("id"), F.coalesce(_text(e, "title"), F.lit("")).alias("title"), F.coalesce(_some(_text(e, "published")), _text(e, "updated")).alias("published"), "link")
-    items = ok.where(~atom).select("source", F.posexplode(_all(F.col("body"), "item")).alias("position", "i")).withColumn("link", F.coalesce(_text(i, "link"), F.lit("")))
-    items = items.select("source", "position", F.coalesce(_some(_text(i, "guid")), "link").alias("id"), F.coalesce(_text(i, "title"), F.lit("")).alias("title"), _some(_text(i, "pubDate")).alias("published"), "link")
-    return entries.unionByName(items).where("id <> '' and link <> ''")
+    rows = parsed(files).where("listing.kind = 'feed'").select("source", F.posexplode("listing.items").alias("position", "x"))
+    return rows.select("source", "position", F.col("x.id").alias("id"), F.col("x.title").alias("title"), F.col("x.date").alias("published"), F.col("x.link").alias("link"))
 
 
 def included(listing: DataFrame, prefixes: list[str], column: str = "loc") -> DataFrame:

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpuswatch.functions import html as hx
+from corpuswatch.functions import robots as plain_robots
 from corpuswatch.functions import text as tx
 from corpuswatch.operators import manifest, robots
 from corpuswatch.sources import frontmatter, http, listings, register
@@ -33,6 +34,16 @@ MD = [
 ]
 
 
+MD += [
+    ("<ul><li>one<li>two<ul><li>three</ul></ul>", "- one\n\n- two\n\n  - three"),
+    ("<p>one<p>two</div>three", "one\n\ntwo\n\nthree"),
+    ("<p><b>open</p><p>next</b> end</p>", "**open\n\nnext** end"),
+    ('<a href="/x"><h3>Title</h3></a>', "### [Title](https://h.example/x)"),
+    ("<nav><p>no</nav></p><p>yes", "yes"),
+    ("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after", "deep\n\nafter"),
+]
+
+
 @pytest.mark.parametrize(("source", "want"), MD)
 def test_markdown(source, want):
     assert hx.html_to_markdown(source, "https://h.example/d/") == want
@@ -64,6 +75,7 @@ def test_articles_are_chunked_by_number():
     page = '<div class="eli-subdivision" id="art_2"><p class="title-article-norm">Article 2</p><p class="stitle-article-norm">Scope</p><div><p>One   two</p></div></div><div class="eli-subdivision" id="x"><p>no</p></div>'
     assert hx.articles(page) == {2: "## Article 2\n\n### Scope\n\nOne two\n"}
     assert hx.articles(None) == {}
+    assert hx.articles('<div class="eli-subdivision" id="art_1"><p>cut') == {}  # an article that never ends isn't whole
 
 
 @given(st.text())
@@ -168,8 +180,10 @@ def test_robots_verdicts(spark):
         req = spark.createDataFrame([(c[0], c[1]) for c in mine], "host string, path string")
         got = {(r["host"], r["path"]): r["allowed"] for r in robots.verdicts(req, rules, [f"{agent}/1.0"]).collect()}
         assert got == {(c[0], c[1]): c[3] for c in mine}
-        own = http.Robots(AP)
-        assert all(own.allows(agent, c[1]) is c[3] for c in mine if c[0] == "h")
+        own = plain_robots.parse(AP)
+        assert all(plain_robots.allowed(own, agent, c[1]) is c[3] for c in mine if c[0] == "h")
+    odd = spark.createDataFrame([("h", None), (None, "/x"), ("h", "/no"), ("h", "/no")], "host string, path string")
+    assert sorted((tuple(r) for r in robots.verdicts(odd, rules, ["corpuswatch"]).collect()), key=str) == sorted([("h", None, False), (None, "/x", False), ("h", "/no", False), ("h", "/no", False)], key=str)
     states = spark.createDataFrame([(200,), (404,), (503,), (None,)], "s int").select(robots.file_state(F.col("s")), robots.status_class(F.col("s"))).collect()
     assert [tuple(r) for r in states] == [("rules", "answered"), ("none", "answered"), ("unknown", "unreachable"), ("unknown", "unreachable")]
 
@@ -191,7 +205,7 @@ ROUTES = {
 
 def fetch(url, **options):
     waits = []
-    f = http.Fetcher(http.routes_opener(ROUTES), sleep=waits.append, **options)
+    f = http.Fetcher(http.routes_opener(ROUTES), sleep=waits.append, **{"resolver": http.public_address} | options)
     return f.get(url, ["h.example", "none.example", "lost.example"]), waits
 
 
@@ -215,6 +229,29 @@ def test_budget_and_private_answers():
         fetch("https://h.example/big", budget=99)
     with pytest.raises(http.Refused):
         fetch("https://h.example/a", resolver=lambda host: ["8.8.8.8", "10.0.0.1"])
+    for answer in ([], OSError("no such name"), UnicodeError("bad label")):
+        def resolver(host, answer=answer):
+            if isinstance(answer, Exception):
+                raise answer
+            return answer
+
+        with pytest.raises(http.Unreachable):
+            fetch("https://h.example/a", resolver=resolver)
+
+
+def test_names_are_resolved_unless_told_otherwise():
+    assert http.Fetcher(http.routes_opener(ROUTES)).resolver is http.resolve
+    assert http.agent_of("browser").startswith("Mozilla") and http.agent_of("neutral") == "curl/8.0" and http.agent_of(None) == http.agent_of("odd") == http.PRODUCT
+
+
+@pytest.mark.parametrize(
+    ("pattern", "path", "want"),
+    [("/a*b$", "/axxb", True), ("/a*b$", "/axxbc", False), ("/a*b", "/axxbc", True), ("/a$", "/a", True), ("/a$", "/ab", False), ("*", "/x", True), ("/*/x*y", "/q/xzy", True), ("/ab*b$", "/ab", False), ("/a*a$", "/a", False), ("", "/x", True)],
+)
+def test_robots_patterns_are_the_same_in_both_forms(spark, pattern, path, want):
+    assert plain_robots.fits(pattern, path) is want
+    row = spark.createDataFrame([(pattern, path)], "p string, t string").select(tx.robots_regex(F.col("p")).alias("rx"), "t")
+    assert row.select(F.expr("t rlike rx")).first()[0] is want
 
 
 def test_page_source(spark):
@@ -236,8 +273,19 @@ def test_sitemap_index_is_capped_and_hostile_listings_are_refused(spark):
     got = listings.sitemap_children(files, 3).orderBy("position").collect()
     assert [(r["n"], r["loc"]) for r in got] == [(5, "https://h/0.xml"), (5, "https://h/1.xml"), (5, "https://h/2.xml")]
     assert listings.sitemap(files).count() == 0
-    why = {r[0]: r[1] for r in files.select("source", listings.guard(F.col("body"))).collect()}
-    assert why["i"] is None and "document type" in why["x"] and "HTML" in why["h"]
+    why = dict(listings.errors(files.union(spark.createDataFrame([("cut", "<urlset><url><loc>u</loc>"), ("none", None)], "source string, body string"))).collect())
+    assert set(why) == {"x", "h", "cut", "none"} and "document type" in why["x"] and "HTML" in why["h"] and "not XML" in why["cut"]
+
+
+def test_listings_are_parsed_not_matched(spark):
+    rows = [
+        ("ns", '<?xml version="1.0" encoding="iso-8859-1"?><s:urlset xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:url><s:loc>https://h/é&#x26;b</s:loc></s:url></s:urlset>'),
+        ("comment", "<urlset><!-- <url><loc>https://h/no</loc></url> --><url><loc><![CDATA[https://h/a?b&c]]></loc><lastmod> </lastmod></url></urlset>"),
+        ("atom", '<feed xmlns="http://www.w3.org/2005/Atom"><entry><link rel="self" href="https://h/s"/><link href="https://h/a?b=1&amp;c=2"/><updated>d</updated></entry><entry><id>x</id></entry></feed>'),
+    ]
+    files = spark.createDataFrame(rows, "source string, body string")
+    assert sorted((r["source"], r["loc"], r["lastmod"]) for r in listings.sitemap(files).collect()) == [("comment", "https://h/a?b&c", None), ("ns", "https://h/é&b", None)]
+    assert [(r["source"], r["id"], r["link"], r["published"]) for r in listings.feed(files).collect()] == [("atom", "https://h/a?b=1&c=2", "https://h/a?b=1&c=2", "d")]
 
 
 def test_needs_refresh_truth_table(spark):

@@ -6,6 +6,7 @@ import json
 
 import pytest
 
+from corpuswatch import cli
 from corpuswatch.register import Register
 from corpuswatch.schema import DIMENSIONS
 from corpuswatch.sources import frontmatter, http
@@ -44,7 +45,7 @@ def place(spark, tmp_path):
     table = routes()
 
     def client(s):
-        return http.Fetcher(http.routes_opener(table), delay=0, sleep=lambda t: None)
+        return http.Fetcher(http.routes_opener(table), http.agent_of((s.get("headers") or {}).get("user_agent")), delay=0, sleep=lambda t: None, resolver=http.public_address)
 
     reg = Register(spark, str(tmp_path / "reg"), client, ("https://api.example/query", "https://api.example/doc"))
     reg.init()
@@ -102,9 +103,9 @@ def test_a_page_of_site_chrome_is_refused(place):
     reg, table = place
     table[f"https://api.example/doc/{BASE}"][2] = "<html>nothing here</html>"
     got = reg.fetch("2024-02-01", ["act"])
-    assert got["exit"] == 1 and got["details"]["act"] == ["G2: disclaimer missing"] and kinds(reg) == [("source-unreachable", "act")]
+    assert got["exit"] == 1 and got["details"]["act"] == ["G2: there is no disclaimer block"] and kinds(reg) == [("source-unreachable", "act")]
     table[f"https://api.example/doc/{BASE}"][2] = TEXT.replace("art_2", "art_1")
-    assert reg.fetch("2024-02-01", ["act"])["details"]["act"] == ["G5: article anchors not unique and increasing"]
+    assert reg.fetch("2024-02-01", ["act"])["details"]["act"] == ["G5: article numbers repeat or fall"]
     table["https://api.example/query*"][0] = 500
     assert reg.check("2024-02-01", ["act"])["unreachable"] == 1
 
@@ -115,7 +116,11 @@ def test_rescan_reports_drift_once(place):
     answer(reg)
     assert reg.rescan("2024-02-01") == {"changed": [], "entries": 0, "exit": 0}
     answer(reg, users=[], sector="bank", size="big")
-    assert reg.profile_diff(frontmatter.dump({"answers": {d: {"value": True} for d in DIMENSIONS}}, "")) == ["users", "size", "sector"]
+    older = reg.path("older.md")
+    frontmatter.save(older, {"answers": {d: {"value": True} for d in DIMENSIONS}}, "")
+    assert reg.profile_diff(older) == ["users", "size", "sector"]
+    with pytest.raises(RegisterError):
+        reg.profile_diff("no-such-reference")
     got = reg.rescan("2024-02-02")
     assert got["entries"] == 3 and sorted(got["changed"]) == ["sector", "size", "users"]
     filed = {r["summary"]: (r["kind"], r["affects"]) for r in reg.open().collect()}
@@ -134,3 +139,72 @@ def test_problems_and_poisoned_files_do_not_stop_the_rest(place, tmp_path):
     assert [r["path"] for r in reg.regime_problems().collect()] == ["bad.md"]
     assert reg.status()["unreadable"] == 1 and reg.profile_problems().count() == 15
     assert reg.check("2024-02-01")["moved"] == 4
+
+
+def test_an_unreadable_profile_is_a_problem_and_stops_no_check(place, tmp_path):
+    reg, _ = place
+    (tmp_path / "reg/profile.md").write_text("---\nbad: [\n")
+    problems = reg.profile_problems().collect()
+    assert problems[0]["problem"].startswith("unreadable") and problems[0]["blocks"]
+    assert reg.check("2024-02-01")["moved"] == 4 and reg.rescan("2024-02-01")["exit"] == 2 and reg.status()["last_check"] == "2024-02-01"
+
+
+def test_dates_are_checked_before_anything_is_written(place, tmp_path):
+    reg, _ = place
+    before = (tmp_path / "reg/sources.json").read_text()
+    for run in (reg.check, reg.fetch, reg.rescan):
+        for bad in ("2024-13-01", "tomorrow", "01-02-2024"):
+            with pytest.raises(ValueError, match="is not a date"):
+                run(bad)
+    assert (tmp_path / "reg/sources.json").read_text() == before and not (tmp_path / "reg/pending.jsonl").exists()
+
+
+def test_a_malformed_listing_is_unreachable_and_a_redirect_stays_on_allowed_hosts(place):
+    reg, table = place
+    table["https://h.example/map.xml"][2] = "<urlset><url><loc>https://h.example/p/1</loc></url>"
+    got = reg.check("2024-02-01", ["map"])
+    assert got["unreachable"] == 1 and "not XML" in got["details"]["map"]
+    table[f"https://api.example/doc/{BASE}"] = [302, {"Location": "https://evil.example/x"}, ""]
+    table["https://evil.example/*"] = [200, {"content-type": "text/html"}, TEXT]
+    got = reg.fetch("2024-02-01", ["act"])
+    assert got["exit"] == 1 and "host not allowed" in got["details"]["act"][0]
+
+
+def test_private_hosts_are_a_problem(place, tmp_path):
+    reg, _ = place
+    hosts = ["10.example.com", "100.64.0.1", "224.0.0.1", "[fe80::1]", "fd00::1", "h.example"]
+    (tmp_path / "reg/sources.json").write_text(json.dumps({"sources": [source("x", "feed", "https://h.example/f", allowed_hosts=hosts)]}))
+    found = [r["problem"] for r in reg.source_problems().collect()]
+    assert len(found) == 1 and "(100.64.0.1, 224.0.0.1, [fe80::1], fd00::1)" in found[0]
+
+
+def test_commands_print_and_exit(place, tmp_path, capsys, monkeypatch):
+    reg, _ = place
+    answer(reg)
+    run = lambda *a: (cli.main(["--folder", str(tmp_path / "reg"), *a], reg), capsys.readouterr())
+    code, out = run("check", "--today", "2024-02-01")
+    assert code == 0 and out.out.startswith("fresh 0 · moved 4 · unreachable 0\n")
+    assert run("check", "--today", "soon")[0] == 1 and run("check", "--source", "nobody")[0] == 2
+    code, out = run("check", "--json", "--source", "map", "--today", "2024-02-02")
+    assert code == 0 and json.loads(out.out)["moved"] == 1
+    code, out = run("pending", "--json")
+    rows = json.loads(out.out)
+    assert code == 0 and {r["kind"] for r in rows} >= {"source-moved", "source-next"}
+    assert run("resolve", rows[0]["id"], "--action", "applied", "--by", "me")[0] == 0
+    code, out = run("resolve", rows[0]["id"], "--action", "applied", "--by", "me")
+    assert code == 1 and "already resolved" in out.err
+    assert run("fetch", "--source", "page", "--today", "2024-02-02")[1].out.startswith("written 1 · skipped 0 · refused 0")
+    code, out = run("search", "privacy", "-k", "2", "--json")
+    assert code == 0 and json.loads(out.out)[0]["kind"] == "mirror"
+    assert run("status")[1].out.startswith("profile: valid") and "open" in json.loads(run("status", "--json")[1].out)
+    for part in ("profile", "regimes", "sources"):
+        assert run(part, "validate")[0] == 0
+    assert run("profile", "diff", "--against", reg.path("profile.md"))[0] == 0 and run("profile", "diff", "--against", "nothing")[0] == 1
+    assert run("rescan", "--today", "2024-02-03")[1].out.startswith("changed: nothing")
+    (tmp_path / "reg/regimes/bad.md").write_text("---\nid: x\x1b[31m\n")
+    code, out = run("regimes", "validate")
+    assert code == 1 and "\x1b" not in out.out
+    assert run()[0] == 1 and run("check", "--nonsense")[0] == 1
+    assert cli.main(["--folder", str(tmp_path / "none"), "status"], None) == 2
+    monkeypatch.setattr(cli, "prerequisites", lambda: ["a thing is missing"])
+    assert cli.main(["--folder", str(tmp_path / "reg"), "status"], None) == 2 and "a thing is missing" in capsys.readouterr().err
