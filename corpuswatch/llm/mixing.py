@@ -9,6 +9,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Row
@@ -29,19 +30,20 @@ MARKS = "!#$%&*|@^~"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text: runs of anything but 0x20 and 0x09 to 0x0D."""
-    return F.array_remove(F.split(F.translate(text, "\t\n\x0b\x0c\r", "     "), " "), "")
+    """Lower-case words of a text: runs of anything but 0x20, 0x09 to 0x0D, full stops and commas."""
+    return F.array_remove(F.split(F.lower(text), "[\t-\r .,]+"), "")
 
 
-def tokens(text: Column) -> Column:
-    """The distinct lower-case words of a text without its full stops and commas, and its shape: shares of capitals, noise marks and distinct words, cut in steps, as words of their own that no text holds."""
-    words = words_of(F.lower(F.translate(text, ".,", "")))
+def tokens(text: Column, words: Column) -> Column:
+    """The distinct words of a text, and its shape: shares of capitals, noise marks and distinct words, cut in steps, as words of their own that no text holds."""
     size = F.greatest(F.length(text), F.lit(1))
     step = lambda name, x, k: F.concat(F.lit(f" {name} "), F.round(x * k).cast("int").cast("string"))
-    marks = (F.length(text) - F.length(F.translate(text, MARKS, ""))) / size
-    capitals = (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))) / size
+    loud = F.regexp_replace(text, f"[^A-Z{re.escape(MARKS)}]+", "")  # one pass over the text, short from here on
+    capitals = F.length(F.regexp_replace(loud, "[^A-Z]+", ""))
     distinct = F.array_distinct(words)
-    shape = F.array(step("marks", F.sqrt(marks), 20), step("capitals", F.sqrt(capitals), 10), step("distinct", F.size(distinct) / F.greatest(F.size(words), F.lit(1)), 10))
+    shape = F.array(
+        step("marks", F.sqrt((F.length(loud) - capitals) / size), 20), step("capitals", F.sqrt(capitals / size), 10), step("distinct", F.size(distinct) / F.greatest(F.size(words), F.lit(1)), 10)
+    )
     return F.concat(distinct, shape)
 
 
@@ -69,7 +71,7 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
     rows = labelled.where(F.col(id_col).isNotNull() & F.col("domain").isin(domains)).groupBy(id_col).agg(F.min("domain").alias("domain"))
     rows = rows.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
     some = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text")).join(F.broadcast(rows.withColumnRenamed(id_col, "_id")), "_id")
-    some = written(some.select("_id", "domain", tokens(F.col("_text")).alias("w")), "mix-examples")  # max_rows texts: read once
+    some = written(some.select("_id", "domain", tokens(F.col("_text"), words_of(F.col("_text"))).alias("w")), "mix-examples")  # max_rows texts: read once
     # copies say no more than one of them does
     each = some.groupBy("domain", F.xxhash64(F.array_sort("w")).alias("_h")).agg(F.min(F.struct("_id", "w")).alias("e")).select("domain", "e.w")
     each = written(each, "mix-distinct")
@@ -105,8 +107,9 @@ def posteriors(docs: DataFrame, table: DomainTable, carry: list[str], text_col:
     """
     known = [r[0] for r in table.words.select("word").toLocalIterator()]  # as many as the lexicon has
     base = docs.select(F.struct(F.lit(0).alias("_"), *carry).alias("carry"), column_or_empty(text_col).alias("_text"))
-    hits = F.array_intersect(F.array(*map(F.lit, known)), tokens(F.col("_text"))) if known else F.array().cast("array<string>")
-    base = base.select("carry", F.size(words_of(F.col("_text"))).cast("long").alias("n_tokens"), hits.alias("w"), F.monotonically_increasing_id().alias("_row"))
+    words = words_of(F.col("_text"))
+    hits = F.array_intersect(F.array(*map(F.lit, known)), tokens(F.col("_text"), words)) if known else F.array().cast("array<string>")
+    base = base.select("carry", F.size(words).cast("long").alias("n_tokens"), hits.alias("w"), F.monotonically_increasing_id().alias("_row"))
     domains = range(len(table.domains))
     odds = base.select("_row", "carry", "n_tokens", F.explode_outer("w").alias("word")).join(F.broadcast(table.words), "word", "left")
     odds = odds.groupBy("_row").agg(F.first("carry").alias("carry"), F.first("n_tokens").alias("n_tokens"), *((F.coalesce(F.sum(f"l{k}"), F.lit(0.0)) + table.base[k]).alias(f"z{k}") for k in domains))

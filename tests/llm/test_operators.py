@@ -505,7 +505,7 @@ def brute_posteriors(docs, labels, weights):
     half_up = lambda x: math.floor(x + 0.5)
 
     def held(text):
-        words = [w for w in re.split("[ \t-\r]+", re.sub("[.,]", "", text).lower()) if w]
+        words = [w for w in re.split("[ \t-\r.,]+", text.lower()) if w]
         share = lambda own: sum(c in own for c in text) / max(1, len(text))
         shape = [f" marks {half_up(math.sqrt(share(marks)) * 20)}", f" capitals {half_up(math.sqrt(share(capitals)) * 10)}", f" distinct {half_up(len(set(words)) / max(1, len(words)) * 10)}"]
         return {*words, *shape}
