@@ -75,7 +75,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_simhash, op2_quality, op3_warc, op4_token_counts, op5_topk, op6_sentencepiece, op7_language_model, op8_exact_dedup, op9_line_dedup, op10_mixing)
 }
 
+#: The words of a line, as SQL.
+_WORDS = "len(list_filter(regexp_split_to_array(line, '[\\t-\\r ]+'), lambda w: w <> ''))"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        k AS (SELECT *, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+        b AS (SELECT *, list_transform([1, 11, 21, 31], lambda i: CAST('0x' || substr(x, i, 10) AS UBIGINT)) AS v FROM k)
+        SELECT page_id, strlen(h) AS payload_bytes, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((v[i // 8 + 1] >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS payload_digest
+        FROM b
+    """,
+    "op9_line_dedup": f"""
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM d),
+        c AS (
+            SELECT doc_id, pos, 2 AS size, line || chr(10) || after AS chunk FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS after FROM l) WHERE after IS NOT NULL
+            UNION ALL SELECT doc_id, pos, 1, line FROM l WHERE {_WORDS} > 50
+        ),
+        f AS (SELECT *, first_value(doc_id) OVER w AS d0, first_value(pos) OVER w AS a0 FROM c WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, pos)),
+        g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos, true AS gone FROM f WHERE doc_id <> d0 OR pos >= a0 + size),
+        m AS (SELECT l.*, coalesce(gone, false) AS gone, coalesce(lag(gone) OVER (PARTITION BY l.doc_id ORDER BY l.pos), false) AS before FROM l LEFT JOIN g USING (doc_id, pos)),
+        t AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (gone AND NOT before) AS INTEGER) AS removed_chunks, CAST(count(*) FILTER (gone) AS INTEGER) AS removed_lines,
+                     coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS rest FROM m GROUP BY doc_id)
+        SELECT doc_id, n_lines, removed_chunks, removed_lines, CAST(strlen(rest) AS INTEGER) AS bytes_left, sha256(rest) AS text_sha256 FROM t
+    """,
     "op5_topk": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
