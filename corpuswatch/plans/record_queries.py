@@ -50,7 +50,7 @@ def problem_messages(spark, sf_dir):
     return rows.select("doc_id", found.alias("p")).where(F.size("p") > 0).select("doc_id", F.array_join("p", "; ").alias("problems"))
 
 
-_URL = "CASE WHEN page_id % 17 = 0 THEN 'https://127.0.0.1/x' WHEN page_id % 19 = 0 THEN 'page' ELSE url END"
+_URL = "CASE WHEN page_id % 17 = 0 THEN CASE page_id % 5 WHEN 0 THEN 'https://127.0.0.1/x' WHEN 1 THEN 'https://100.64.0.1/x' WHEN 2 THEN 'https://[fe80::1]/x' WHEN 3 THEN 'https://[fd00::1]/x' ELSE 'https://10.example.com/x' END WHEN page_id % 19 = 0 THEN 'page' ELSE url END"
 
 
 @query(
@@ -60,7 +60,8 @@ _URL = "CASE WHEN page_id % 17 = 0 THEN 'https://127.0.0.1/x' WHEN page_id % 19
     UNION ALL SELECT id, id || ': api tier needs an explicit adapter (eurlex)' FROM h WHERE tier = 'api'
     UNION ALL SELECT id, id || ': licence.redistribute must be true or false' FROM h WHERE page_id % 6 = 0
     UNION ALL SELECT id, id || ': url must be https' FROM h WHERE NOT starts_with(url, 'https:')
-    UNION ALL SELECT id, id || ': allowed_hosts must not include local or private addresses (127.0.0.1)' FROM h WHERE page_id % 17 = 0"""
+    UNION ALL SELECT id, id || ': allowed_hosts must not include local or private addresses (' || CASE page_id % 5 WHEN 0 THEN '127.0.0.1' WHEN 1 THEN '100.64.0.1' WHEN 2 THEN '[fe80::1]' ELSE '[fd00::1]' END || ')'
+    FROM h WHERE page_id % 17 = 0 AND page_id % 5 <> 4"""
 )
 def source_validation(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
