@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, written
 
 #: Queries of one block, and bins of one histogram.
 BLOCK, BINS = 1024, 1024
@@ -77,7 +77,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = "v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
     asked = asked.where("id is not null").where(finite)
-    asked = asked.groupBy("id").agg(F.min("v").alias("v"))
+    asked = written(asked.groupBy("id").agg(F.min("v").alias("v")), "topk-queries")  # read anew for each block
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     top = base.where(finite).agg(F.max(F.expr("aggregate(v, 0D, (s, x) -> s + pow(abs(256D * x) + 1, 2))"))).first()[0]
     folder, last, any_block = new_folder(spark, "topk"), None, False
