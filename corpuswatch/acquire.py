@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from .functions import html as hx
 from .functions import text as tx
 from .operators import freshness, manifest, validate
-from .schema import CHANGED_SHOWN, LISTING_BYTES, LISTING_CHILDREN
+from .schema import CHANGED_SHOWN, LISTING_BYTES, LISTING_CHILDREN, LISTING_PAGES
 from .sources import listings
 
 ASKED = "source string, key string, url string, position long, lastmod string, title string"
@@ -52,6 +52,7 @@ class Run:
 
     def __init__(self, spark: SparkSession, chosen: list[dict], make: Callable, hosts: tuple[str, ...] = ()):
         self.spark, self.chosen, self.make, self.hosts, self.kept = spark, chosen, make, hosts, []
+        self.notes = spark.createDataFrame([], "source string, note string")  # of listings that were cut at a cap
 
     def done(self) -> None:
         for df in self.kept:
@@ -113,7 +114,15 @@ class Run:
         items = items.where((F.size("include") == 0) | F.exists("include", lambda p: F.col("x.link").startswith(p)))
         items = listings.capped(items, "source", ["part", "at"])
         rows = items.select("source", F.col("x.id").alias("key"), F.col("x.link").alias("url"), (F.col("part") * (1 << 32) + F.col("at")).alias("position"), F.col("x.date").alias("lastmod"), F.col("x.title").alias("title"))
-        return self.keep(rows.dropDuplicates(["source", "key"])), lost.unionByName(lost_below)
+        self.notes = self._caps(first.join(by, "source"), items)
+        once = rows.groupBy("source", "key").agg(F.min(F.struct("position", "url", "lastmod", "title")).alias("x")).select("source", "key", "x.url", "x.position", "x.lastmod", "x.title")
+        return self.keep(once), lost.unionByName(lost_below)
+
+    def _caps(self, first: DataFrame, items: DataFrame) -> DataFrame:
+        n = F.size("listing.children")
+        wide = first.where("nests and listing.kind = 'index'").where(n > LISTING_CHILDREN).select("source", F.concat(F.lit("index lists "), n.cast("string"), F.lit(f" sitemaps, capped at {LISTING_CHILDREN}")).alias("note"))
+        long = items.where(F.col("listed") > LISTING_PAGES).groupBy("source").agg(F.lit(f"listing exceeds {LISTING_PAGES} pages, capped").alias("note"))
+        return wide.unionByName(long)
 
     def _read(self, fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
         files = self.keep(listings.parsed(fetched.where("status = 200").select("source", "position", "body")))
@@ -153,9 +162,10 @@ class Run:
         counts = seen.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"))
         shown = freshness.first_items(seen.where("changed"), "source", "key", CHANGED_SHOWN).select("source", F.col("shown").alias("changed"))
         why = freshness.first_items(lost, "source", "error", CHANGED_SHOWN).select("source", F.array_join("shown", "; ").alias("why"), F.col("total").alias("n_failed"))
-        whole = sources.join(counts, "source", "left").join(shown, "source", "left").join(why, "source", "left").fillna(0, ["n", "n_changed", "n_failed"])
+        notes = self.notes.groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("note")), "; ").alias("note"))  # two a source at most
+        whole = sources.join(counts, "source", "left").join(shown, "source", "left").join(why, "source", "left").join(notes, "source", "left").fillna(0, ["n", "n_changed", "n_failed"])
         state = freshness.decide(F.col("kind"), F.col("n"), F.col("n_changed"), F.col("n_failed"))
-        detail = F.concat(F.col("n_changed").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" changed"), F.coalesce(F.concat(F.lit("; unreachable: "), "why"), F.lit("")))
+        detail = F.concat(F.col("n_changed").cast("string"), F.lit(" of "), F.col("n").cast("string"), F.lit(" changed"), F.coalesce(F.concat(F.lit(" ("), "note", F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit("; unreachable: "), "why"), F.lit("")))
         rows = whole.select("source", state.alias("freshness"), detail.alias("detail"), F.coalesce("changed", F.array().cast("array<string>")).alias("changed"), "n_changed")
         return {r["source"]: r.asDict() for r in rows.collect()}  # a row a source
 
@@ -173,7 +183,7 @@ class Run:
         skipped = seen.where("not stale").select("source").unionByName(fresh.where("same").select("source")).groupBy("source").agg(F.count(F.lit(1)).alias("skipped"))
         failed = got.where("error is not null").select("source", F.col("url").alias("error"))
         rows = fresh.where("not same").select("source", "key", "url", "lastmod", "title", "markdown", "hash", tx.page_path(F.col("key")).alias("path"))
-        return rows, skipped, lost.unionByName(failed)
+        return rows, skipped, lost.unionByName(failed).unionByName(self.notes.select("source", F.concat(F.lit("listing: "), "note").alias("error")))
 
     def consolidated(self, current: dict[str, str], prefix: str) -> tuple[DataFrame, DataFrame]:
         """Articles (source, url, version, lang, number, markdown) of the versions in ``current`` by source, and (source, error) of pages that a guard refuses."""

@@ -170,6 +170,15 @@ def test_a_malformed_listing_is_unreachable_and_a_redirect_stays_on_allowed_host
     assert got["exit"] == 1 and "host not allowed" in got["details"]["act"][0]
 
 
+def test_a_listing_over_its_cap_says_so(place):
+    reg, table = place
+    table["https://h.example/map.xml"][2] = "<urlset>" + "".join(f"<url><loc>https://h.example/p/{k}</loc><lastmod>d</lastmod></url>" for k in range(2001)) + "</urlset>"
+    got = reg.check("2024-02-01", ["map"])
+    assert got["moved"] == 1 and got["details"]["map"] == "2000 of 2000 changed (listing exceeds 2000 pages, capped)"
+    row = next(r for r in reg.open().collect() if r["source"] == "map")
+    assert len(row["changed"]) == 20 and row["changed_total"] == 2000
+
+
 def test_private_hosts_are_a_problem(place, tmp_path):
     reg, _ = place
     hosts = ["10.example.com", "100.64.0.1", "224.0.0.1", "[fe80::1]", "fd00::1", "h.example"]
