@@ -9,7 +9,7 @@ from signatures of least hashes in place of fingerprint segments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -165,13 +165,15 @@ def shingles(text: str, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64, count=len(words) - size + 1))
 
 
-def band_keys(found: np.ndarray) -> list[int]:
-    """A signed key for each band: a hash of its number and of its rows' least values."""
+def signature(found: np.ndarray) -> tuple[list[int], list[int]]:
+    """A signed key for each band, a hash of its number and of its rows' least values; and a bit of each least value, packed into four longs."""
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), AT_ONCE):
         np.minimum(least, (found[at : at + AT_ONCE, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(rows)]
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
+    bits = np.zeros(256, dtype=np.uint8)
+    bits[: BANDS * ROWS] = (least >> np.uint64(17)) & np.uint64(1)
+    return keys, np.packbits(bits).view("<i8").tolist()
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -179,53 +181,58 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = (), size: int = SIZE, least: float = LEAST, hot: int = 64, filter_bits: int = MOST_SLOTS) -> DataFrame:
-    """id_col, component_id (smallest id reachable over links of texts whose shingles have a Jaccard similarity of ``least`` or more), kept and the columns in ``carry`` for each row of ``docs``.
+def bits_apart(least: float) -> int:
+    """Bits of two signatures that differ at most, but for a chance of 3e-7, where the sets have that similarity: each differs with a chance of half of what lacks."""
+    n, p = BANDS * ROWS, (1 - least) / 2
+    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
 
-    Rows with one set of shingles fall together first. Sets that share a band's
-    key are candidates; the sets themselves, of candidates only, verify each
-    pair, so no link is wrong, and one of similarity 0.8 is missed with a chance
-    of 1.3e-7. In a band's bucket of over ``hot`` sets, which many near copies of
-    one text make, each is compared with the least one; those that are not in
-    its component then are compared with the whole bucket, so that no
-    component is cut and pairs inside one aren't listed. What is aggregated by a key is written
-    before rows are joined to it, so that adaptive execution can split a hot key.
 
-    ``kept`` is true on one row of each component: that with the smallest id, null ids counting as
-    largest, of rows with that same id the one whose text has the least hash, and of rows alike in both any one.
-    Null texts count as empty; texts without words are alike. Repeated rows are
-    kept. A null id is never the smallest; a component of null ids alone has a null
-    component_id. An empty table gives an empty result; further columns are ignored unless named in ``carry``
-    (one whose name is also a result column's comes twice, so callers that carry any name pass a struct).
-    """
-    base = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry")).withColumn("_of", F.xxhash64("_text"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as _id, _of (the text's hash) and node (their set of shingles); and the nodes with the first of their rows, size, keys and bits."""
+    base = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text")).withColumn("_of", F.xxhash64("_text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
-            for text in batch.column(1):
-                found = shingles(text.as_py(), size)
-                nodes.append(xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63))
-                sizes.append(len(found))
-                keys.append(band_keys(found))
-            own = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), *own, batch.column(2)], ["_id", "_of", "node", "n", "keys", "_carry"])
+            sets = [shingles(text.as_py(), size) for text in batch.column(1)]
+            keys, bits = zip(*map(signature, sets), strict=True) if sets else ((), ())
+            nodes = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+            longs = pa.list_(pa.int64())
+            own = [pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, longs), pa.array(bits, longs)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], ["_id", "_of", "node", "n", "keys", "bits"])
 
     longs = [StructField(c, LongType()) for c in ("_of", "node", "n")]
-    marked = base.mapInArrow(mark, StructType([StructField("_id", docs.schema[id_col].dataType), *longs, StructField("keys", ArrayType(LongType())), base.schema["_carry"]]))
-    marks = written(marked.withColumn("_row", F.monotonically_increasing_id()), "near-marks")
-    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_of", "_row")
-    classes = marks.groupBy("node").agg(F.min(order).alias("_first"), F.min("_of").alias("_of"), F.min("n").alias("n"), F.min("keys").alias("keys"))
-    classes = written(classes, "near-classes")
-    index = classes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("top")).where("m > 1"), "near-sizes")
-    index = written(index.join(sizes, "key"), "near-index")
-    of_node = classes.select("node", "_of", "n")
-    near = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least - 1e-9)  # sets of other sizes can't be so similar
+    lists = [StructField(c, ArrayType(LongType())) for c in ("keys", "bits")]
+    marks = written(base.mapInArrow(mark, StructType([StructField("_id", docs.schema[id_col].dataType), *longs, *lists])), "near-marks")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_of")).alias("first")
+    classes = marks.groupBy("node").agg(first, F.min("_of").alias("_of"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
+    return marks.select("_id", "_of", "node"), written(classes, "near-classes")
+
 
-    def candidates(one: DataFrame, other: DataFrame, also) -> DataFrame:
-        joined = one.alias("a").join(other.alias("b"), (F.col("a.key") == F.col("b.key")) & also & near)
-        return joined.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+def _first_of_component(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, hot: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _of, node), and for each node the first row of its component."""
+    marks, classes = _classes(docs, id_col, text_col, size)
+    index = classes.select("node", "n", F.explode("keys").alias("key"))
+    sizes = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
+    index = written(index.join(sizes, "key").join(classes.select("node", "bits"), "node"), "near-index")
+    of_node = classes.select("node", "_of")
+    most = bits_apart(least)
+    apart = lambda a, b: sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseXOR(F.get(f"{b}.bits", F.lit(k)))) for k in range(4)), F.lit(0))
+
+    def near(one: DataFrame, other: DataFrame, also) -> DataFrame:
+        """Pairs that share a key, of sizes and bits that can be so similar: a, b, and d, by how many bits they differ."""
+        sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least - 1e-9)
+        joined = one.alias("a").join(other.alias("b"), (F.col("a.key") == F.col("b.key")) & also & sized & (apart("a", "b") <= most))
+        return joined.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), apart("a", "b").alias("d")).distinct()
+
+    def nearest(pairs: DataFrame, k: int = 3) -> DataFrame:
+        """The ``k`` pairs of each a that differ least."""
+        found = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("x"))
+        return found.select("a", F.explode("x").alias("x")).select("a", "x.b", "x.d")
+
+    def centres(rows: DataFrame, k: int) -> DataFrame:
+        """At most ``k`` of each key's rows, chosen by a hash that differs from key to key."""
+        row = F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "bits", "c")
+        return rows.groupBy("key", F.pmod(F.xxhash64("key", "node", F.lit(k)), F.lit(k))).agg(F.min(row).alias("x")).select("key", "x.node", "x.n", "x.bits", "x.c")
 
     def texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,31 +244,73 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield batch.select(["a", "b"]).filter(pa.array([similarity(x, y) >= least - 1e-12 for x, y in sets], pa.bool_()))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "near-candidates")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of_node, "node").select("node", "_of")
-        needed = written(needed, "near-needed")
+        """Those of the pairs whose sets are as similar. The sets are made again from the texts of these nodes only."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
+        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of_node, "node").select("node", "_of"), "near-needed")
         asked = KeyFilter(needed.select("_of"), filter_bits)
-        texts = asked.mark(base.select("_of", "_text"), "_asked", F.col("_of")).where("_asked").select("_of", "_text").mapInArrow(texts_to_sets, "_of long, found binary")
+        base = docs.select(F.xxhash64(column_or_empty(text_col)).alias("_of"), column_or_empty(text_col).alias("_text"))
+        texts = asked.mark(base, "_asked", F.col("_of")).where("_asked").select("_of", "_text").mapInArrow(texts_to_sets, "_of long, found binary")
         sets = written(texts.groupBy("_of").agg(F.first("found").alias("found")), "near-texts")
         sets = written(needed.join(sets, "_of").select("node", "found"), "near-sets")
         both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
         return written(both.mapInArrow(compare, "a long, b long"), "near-links")
 
-    cool, warm = index.where(F.col("m") <= hot), index.where(F.col("m") > hot)
-    stars = warm.where((F.col("node") != F.col("top"))).select(F.col("top").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = candidates(cool, cool, F.col("a.node") < F.col("b.node"))
-    links = verified(pairs.union(stars).distinct())
+    cool, warm = index.where(F.col("m") <= hot), index.where(F.col("m") > hot).withColumn("c", F.col("node"))
+    stars = nearest(near(warm, centres(warm, 1), F.col("a.node") != F.col("b.node")))
+    links = verified(near(cool, cool, F.col("a.node") < F.col("b.node")).union(stars))
     nodes = written(components(links, "near-components"), "near-of-node")
-    if not warm.isEmpty():
-        placed = warm.join(nodes, "node", "left").select("key", "node", "n", "top", F.coalesce("component", "node").alias("c"))
-        tops = written(placed.where("node = top").select("key", F.col("c").alias("top_c")), "near-tops")
-        placed = written(placed.join(tops, "key"), "near-placed")
-        apart = placed.where("c <> top_c")
-        if not apart.isEmpty():
-            links = links.union(verified(candidates(apart, placed, F.col("a.c") != F.col("b.c"))))
-            nodes = written(components(links, "near-components"), "near-of-node")
-    of_class = written(classes.join(nodes, "node", "left").select("node", "_first", F.coalesce("component", "node").alias("component")), "near-of-class")
-    firsts = written(of_class.groupBy("component").agg(F.min("_first").alias("first")), "near-firsts")
-    linked = written(of_class.join(firsts, "component").select("node", "first"), "near-linked")
-    found = marks.select("_id", "_row", "node", "_carry").join(linked, "node")
-    return found.select(F.col("_id").alias(id_col), F.col("first.id").alias("component_id"), (F.col("_row") == F.col("first._row")).alias("kept"), *(F.col(f"_carry.{c}").alias(c) for c in carry))
+    for k in (8, 0) if not warm.isEmpty() else ():
+        placed = warm.drop("c").join(nodes, "node", "left").select("key", "node", "n", "bits", F.coalesce("component", "node").alias("c"))
+        placed = written(placed, "near-placed")
+        base = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("base"), F.count(F.lit(1)).alias("cs"))
+        base = written(base.where("cs > 1").select("key", "base"), "near-base")  # keys whose rows aren't all of one component yet
+        if base.isEmpty():
+            break
+        split = written(placed.join(base, "key"), "near-split")
+        left = split.where("c <> base")
+        other = near(left, centres(split.where("c = base"), k) if k else split, F.col("a.c") != F.col("b.c"))
+        links = links.union(verified(nearest(other) if k else other))
+        nodes = written(components(links, "near-components"), "near-of-node")
+    of_class = written(classes.join(nodes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near-of-class")
+    firsts = written(of_class.groupBy("component").agg(F.min("first").alias("first")), "near-firsts")
+    return marks, written(of_class.select("node", "component").join(firsts, "component").select("node", "first"), "near-linked")
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = 64, filter_bits: int = MOST_SLOTS) -> DataFrame:
+    """id_col and component_id (smallest id reachable over links of texts whose shingles have a Jaccard similarity of ``least`` or more) for each row of ``docs``.
+
+    Rows with one set of shingles fall together first. Sets that share a band's
+    key are candidates, if their sizes and the bits of their signatures allow that similarity; the sets themselves, of candidates only, verify each
+    pair, so no link is wrong, and one of similarity 0.8 is missed with a chance
+    of 4e-7. In a band's bucket of over ``hot`` sets, which many near copies of
+    one text make, each set is compared with the few it differs least from among one centre of
+    each of its buckets. Sets that aren't in their bucket's largest component then are compared
+    with eight centres of that, and those that still aren't with the whole bucket, so that no
+    component is cut and pairs inside one aren't listed. What is aggregated by a key is written
+    before rows are joined to it, so that adaptive execution can split a hot key.
+
+    Null texts count as empty; texts without words are alike. Repeated rows are
+    kept. A null id is never the smallest; a component of null ids alone has a null
+    component_id. An empty table gives an empty result; further columns are ignored.
+    """
+    marks, linked = _first_of_component(docs, id_col, text_col, size, least, hot, filter_bits)
+    return marks.join(linked, "node").select(F.col("_id").alias(id_col), F.col("first.id").alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = 64, filter_bits: int = MOST_SLOTS) -> DataFrame:
+    """One row of each component of ``similar_copies``, with all columns of ``docs``: that with the smallest id, null ids counting as largest, of rows with that same id the one whose text has the least hash, and of rows alike in both any one.
+
+    Rows that go, and rows alike in id and text, are flagged by a bitmap; only flagged rows are shuffled
+    with their text. An empty table stays empty; columns may have any names.
+    """
+    marks, linked = _first_of_component(docs, id_col, text_col, size, least, hot, filter_bits)
+    first = F.col("first.id").eqNullSafe(F.col("_id")) & (F.col("first._of") == F.col("_of"))
+    counted = marks.groupBy("_id", "_of").agg(F.first("node").alias("node"), F.count(F.lit(1)).alias("rows"))
+    told = written(counted.join(linked, "node").select("_id", "_of", "rows", first.alias("stays")).where("rows > 1 or not stays"), "near-told")
+    special = KeyFilter(told.select(F.xxhash64("_id", "_of")), filter_bits)
+    whole = docs.select(F.col(id_col).alias("_id"), F.xxhash64(column_or_empty(text_col)).alias("_of"), F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns))).alias("_row"))
+    flagged = special.mark(whole, "_flagged", F.xxhash64("_id", "_of"))
+    gone = told.where("not stays").select(F.col("_id").alias("g"), F.col("_of").alias("h"))
+    rest = flagged.where("_flagged").join(gone, F.col("_id").eqNullSafe(F.col("g")) & (F.col("_of") == F.col("h")), "left_anti").groupBy("_id", "_of").agg(F.first("_row").alias("_row"))
+    stays = flagged.where("not _flagged").select("_row").unionByName(rest.select("_row"))
+    return stays.select(*(F.col(f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)))
