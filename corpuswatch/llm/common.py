@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +35,13 @@ class KeyFilter:
     """
 
     def __init__(self, keys: DataFrame, bits: int = MOST_SLOTS):
-        """keys: one column of longs, none of them null."""
+        """keys: one column of longs that are hashes, none of them null."""
         keys = written(keys.toDF("k"), "keys")
         n = keys.count()
         self.keys = keys if n > bits // 4 else None
         if self.keys is not None:
             return
-        self.bits = min(bits, max(64, 1 << (n * SLOTS - 1).bit_length() if n else 64))
+        self.bits = min(1 << bits.bit_length() - 1, max(64, 1 << (n * SLOTS - 1).bit_length() if n else 64))
         words = keys.select(self.slot(F.col("k")).alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("b"))
         found = np.zeros(self.bits // 64, dtype=np.uint64)
         got = words.toArrow()  # bits / 64 rows at most
@@ -48,7 +49,19 @@ class KeyFilter:
         self.sent = keys.sparkSession.sparkContext.broadcast(found)
 
     def slot(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+        return key.bitwiseAND(F.lit(self.bits - 1))
+
+    def test(self) -> Callable[[np.ndarray], np.ndarray]:
+        """For use in tasks: which of an array of keys may be among the keys. All may, where there is no bitmap."""
+        if self.keys is not None:
+            return lambda keys: np.ones(len(keys), dtype=bool)
+        sent, last = self.sent, np.int64(self.bits - 1)
+
+        def found(keys: np.ndarray) -> np.ndarray:
+            s = keys.astype(np.int64) & last
+            return ((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+        return found
 
     def mark(self, rows: DataFrame, name: str, key: Column) -> DataFrame:
         """``rows`` with ``name``, whether ``key`` may be among the keys. A bitmap takes only the key's slot number to Python."""
@@ -56,16 +69,22 @@ class KeyFilter:
             put = self.keys.distinct().select(F.col("k").alias(f"{name}_k"), F.lit(True).alias(f"{name}_there"))
             joined = rows.withColumn(f"{name}_key", key).join(written(put, "keys"), F.col(f"{name}_key") == F.col(f"{name}_k"), "left")
             return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(f"{name}_there").isNotNull().alias(name))
-        sent = self.sent
+        test = self.test()
 
         def found(slot: pd.Series) -> pd.Series:
-            s = slot.to_numpy(dtype=np.int64)
-            return pd.Series(((sent.value[s >> 6] >> (s & 63).astype(np.uint64)) & np.uint64(1)).astype(bool))
+            return pd.Series(test(slot.to_numpy(dtype=np.int64)))
 
         found.__annotations__ = {"slot": pd.Series, "return": pd.Series}  # postponed ones don't resolve in here
         return rows.withColumn(name, F.pandas_udf(found, "boolean")(self.slot(key)))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def unused(name: str, columns: Sequence[str]) -> str:
     """``name``, or that with as many underscores before it as make it none of ``columns``."""
     taken = {c.lower() for c in columns}

@@ -36,10 +36,10 @@ def exact_dedup(
     whole = F.unhex(F.col(full_hash)) if full_hash else F.unhex(F.sha2(column_or_empty(text_col), 256))
     base = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"), whole.alias("_whole"))
     base = base.withColumn("_len", F.octet_length("_text").cast("long"))
-    many = base.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_len")
+    many = base.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.xxhash64("_len"))
     same_length = KeyFilter(many, filter_bits)
     head_of = F.xxhash64("_len", F.substring("_text", 1, head))
-    heads = same_length.mark(base.select("_len", "_text"), "_pair", F.col("_len")).where("_pair").select(head_of.alias("_head"))
+    heads = same_length.mark(base.select("_len", "_text"), "_pair", F.xxhash64("_len")).where("_pair").select(head_of.alias("_head"))
     same_head = KeyFilter(heads.groupBy("_head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_head"), filter_bits)
     hashed = same_head.mark(base.withColumn("_head", head_of), "_again", F.col("_head"))
     hashed = written(hashed.select("_id", "_carry", "_len", "_head", F.when(F.col("_again"), F.col("_whole")).alias("_full"), F.monotonically_increasing_id().alias("_row")), "exact-hashed")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_SLOTS, KeyFilter, column_or_empty, written
+from .common import MOST_SLOTS, KeyFilter, column_or_empty, slices, written
 
 #: Lines that the rolling hash spans, and mean windows between boundaries.
 SPAN, MEAN = 2, 1
@@ -70,19 +71,23 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [key for text in batch.column(0).to_pylist() for _, _, key in chunks(text.split("\n"), span, mean, long)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["h"])
 
     again = base.select("text").mapInArrow(first, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     repeated = KeyFilter(again, filter_bits)
 
+    may = repeated.test()
+
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple[int, int, int, int, str]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 lines = text.split("\n")
-                rows += [(k, a, n, key, "\n".join(lines[a : a + n])) for a, n, key in chunks(lines, span, mean, long)]
+                found = list(chunks(lines, span, mean, long))
+                passed = may(np.fromiter((key for _, _, key in found), dtype=np.int64, count=len(found)))
+                rows += [(k, a, n, key, "\n".join(lines[a : a + n])) for (a, n, key), ok in zip(found, passed, strict=True) if ok]
             row, at, size, h, unit = zip(*rows, strict=True) if rows else ((), (), (), (), ())
             row = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -91,8 +96,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             )
 
     marked = base.withColumn("of", F.xxhash64("text"))
-    held = repeated.mark(marked.mapInArrow(second, f"id {kind}, of long, at long, size long, h long, unit string"), "again", F.col("h"))
-    held = written(held.where("again").drop("again"), "line-chunks")
+    held = marked.mapInArrow(second, f"id {kind}, of long, at long, size long, h long, unit string")
+    if repeated.keys is not None:  # too many for a bitmap
+        held = repeated.mark(held, "again", F.col("h")).where("again").drop("again")
+    held = written(held, "line-chunks")
     stays = held.groupBy("h", "unit").agg(F.min(F.struct("id", "of", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common passage
     overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("at") < F.col("first.at") + F.col("size"))
@@ -105,7 +112,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = flagged.where("_touched").alias("d").join(going.alias("g"), F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.of") == F.col("g.of")), "left").select("d.id", "d.text", "g.gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, total, runs, n_gone = [], [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 lines, gone = text.split("\n"), set(gone or ())

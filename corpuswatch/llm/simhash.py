@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import MOST_SLOTS, KeyFilter, column_or_empty, components, partitions, written
+from .common import MOST_SLOTS, KeyFilter, column_or_empty, components, partitions, slices, written
 
 SEED = 42
 #: Shingles whose bits are counted at once, to bound memory on very long texts.
@@ -192,7 +192,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Da
     base = docs.select(F.col(id_col).alias("_id"), column_or_empty(text_col).alias("_text")).withColumn("_of", F.xxhash64("_text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingles(text.as_py(), size) for text in batch.column(1)]
             keys, bits = zip(*map(signature, sets), strict=True) if sets else ((), ())
             nodes = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
@@ -235,7 +235,7 @@ def _first_of_component(docs: DataFrame, id_col: str, text_col: str, size: int,
         return rows.groupBy("key", F.pmod(F.xxhash64("key", "node", F.lit(k)), F.lit(k))).agg(F.min(row).alias("x")).select("key", "x.node", "x.n", "x.bits", "x.c")
 
     def texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), size).tobytes() for x in batch.column(1)], pa.binary())], ["_of", "found"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

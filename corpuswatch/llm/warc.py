@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import KeyFilter, column_or_empty, new_folder, partitions, written
+from .common import KeyFilter, column_or_empty, new_folder, partitions, slices, written
 
 INDEX = "file string, offset long, length long, page_id long, url string, payload_digest string, record_type string"
 FOUND = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -147,7 +147,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, name, offset = None, f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
-        for batch in batches:
+        for batch in slices(batches):
             index = []
             if out is None and batch.num_rows:
                 where, inner = _open(name)
