@@ -20,8 +20,8 @@ def exact_dedup(
 
     Step 1 counts byte lengths. Step 2 hashes the heads of rows of a shared
     length. Step 3 hashes the whole text (SHA-256) of rows whose length and
-    head are shared; groups are rows with equal length, head and SHA-256. Texts are never
-    shuffled: only lengths and hashes are. What survives a step reaches the
+    head are shared; groups are rows with equal length, head and SHA-256. Only those rows are
+    shuffled, as hashes and the columns in ``carry``; the others go straight to the result. What survives a step reaches the
     next scan as a bitmap sized by the keys, of ``filter_bits`` slots at most, or by an
     equality join beyond; some rows may pass that needn't, and the groups stay the same.
     ``full_hash`` names a column of ``docs`` with the text's SHA-256 in hex digits, for callers that need it
@@ -41,16 +41,16 @@ def exact_dedup(
     head_of = F.xxhash64("_len", F.substring("_text", 1, head))
     heads = same_length.mark(base.select("_len", "_text"), "_pair", F.xxhash64("_len")).where("_pair").select(head_of.alias("_head"))
     same_head = KeyFilter(heads.groupBy("_head").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_head"), filter_bits)
-    hashed = same_head.mark(base.withColumn("_head", head_of), "_again", F.col("_head"))
-    hashed = written(hashed.select("_id", "_carry", "_len", "_head", F.when(F.col("_again"), F.col("_whole")).alias("_full"), F.monotonically_increasing_id().alias("_row")), "exact-hashed")
+    flagged = same_head.mark(base.withColumn("_head", head_of), "_again", F.col("_head"))
+    shared = flagged.where("_again").select("_id", "_carry", "_len", "_head", F.col("_whole").alias("_full"), F.monotonically_increasing_id().alias("_row"))
+    shared = written(shared, "exact-hashed")
     key = ["_len", "_head", "_full"]
-    groups = hashed.where("_full is not null").groupBy(*key).agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n"))
+    groups = shared.groupBy(*key).agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n"))
     groups = written(groups.where("_n > 1"), "exact-groups")  # so that the join deals rows anew and can split a large group
-    found = hashed.join(groups, key, "left")
-    return found.select(
-        F.col("_id").alias(id_col),
-        F.coalesce(F.col("_top._id"), F.col("_id")).alias("keep_id"),
-        F.coalesce("_n", F.lit(1)).alias("group_size"),
-        (F.col("_top").isNull() | (F.col("_row") == F.col("_top._row"))).alias("kept"),
-        *(F.col(f"_carry.{c}").alias(c) for c in carry),
+    found = shared.join(groups, key, "left").select(
+        "_id", F.coalesce(F.col("_top._id"), F.col("_id")).alias("_keep"), F.coalesce("_n", F.lit(1)).alias("_n"), (F.col("_top").isNull() | (F.col("_row") == F.col("_top._row"))).alias("_kept"), "_carry"
+    )
+    alone = flagged.where("not _again").select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"), F.lit(True).alias("_kept"), "_carry")
+    return found.unionByName(alone).select(
+        F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"), F.col("_kept").alias("kept"), *(F.col(f"_carry.{c}").alias(c) for c in carry)
     )
