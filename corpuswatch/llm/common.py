@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +46,9 @@ class KeyFilter:
         got = words.toArrow()  # bits / 64 rows at most
         found[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
         self.sent = keys.sparkSession.sparkContext.broadcast(found)
+        # the same for expressions: one row with the bitmap as an array
+        bitmap = pa.array([0, len(found)], pa.int32()), pa.array(found.view(np.int64))
+        self.row = keys.sparkSession.createDataFrame(pa.table({"w": pa.ListArray.from_arrays(*bitmap)}))
 
     def slot(self, key: Column) -> Column:
         return key.bitwiseAND(F.lit(self.bits - 1))
@@ -64,18 +66,16 @@ class KeyFilter:
         return found
 
     def mark(self, rows: DataFrame, name: str, key: Column) -> DataFrame:
-        """``rows`` with ``name``, whether ``key`` may be among the keys. A bitmap takes only the key's slot number to Python."""
+        """``rows`` with ``name``, whether ``key`` may be among the keys. The bitmap, one row of a bounded size, is broadcast, and a row looks its slot up in it."""
         if self.keys is not None:
             put = self.keys.distinct().select(F.col("k").alias(f"{name}_k"), F.lit(True).alias(f"{name}_there"))
             joined = rows.withColumn(f"{name}_key", key).join(written(put, "keys"), F.col(f"{name}_key") == F.col(f"{name}_k"), "left")
             return joined.select(*(F.col(f"`{c}`") for c in rows.columns), F.col(f"{name}_there").isNotNull().alias(name))
-        test = self.test()
-
-        def found(slot: pd.Series) -> pd.Series:
-            return pd.Series(test(slot.to_numpy(dtype=np.int64)))
-
-        found.__annotations__ = {"slot": pd.Series, "return": pd.Series}  # postponed ones don't resolve in here
-        return rows.withColumn(name, F.pandas_udf(found, "boolean")(self.slot(key)))
+        bits = self.row.toDF(f"{name}_bits")
+        slot = self.slot(key)
+        word = F.get(F.col(f"{name}_bits"), F.shiftright(slot, 6).cast("int"))
+        there = F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return rows.crossJoin(F.broadcast(bits)).withColumn(name, there).drop(f"{name}_bits")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
