@@ -34,7 +34,7 @@ SPACE = "▁"
 UNKNOWN = " \u2047 ".encode()
 WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 #: Characters that are segmented at once (one longer text is by itself).
-CHARACTERS = 2_000_000
+CHARACTERS = 600_000
 PRIME, MARKED, BITS = np.uint64(0x9E3779B97F4A7C15), 1 << 23, 17
 _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
