@@ -3,8 +3,8 @@
 For links by similarity of shingle sets see ``similar_copies``: texts that
 share 0.8 of their shingles differ in some 10 of 64 bits. Segments of which
 one differs by at most one bit would then have six bits or so, and each of
-their buckets would hold a good part of all texts, so candidates there come
-from signatures of least hashes in place of fingerprint segments.
+their buckets would hold a good part of all texts, so fingerprints there have
+2,240 bits, and segments of which one is equal.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import MOST_SLOTS, KeyFilter, column_or_empty, components, partitions, slices, written
 
@@ -147,13 +147,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Words of a shingle, and the least Jaccard similarity of near copies.
 SIZE, LEAST = 5, 0.8
-#: A pair of similarity s shares no key with chance (1 - s^ROWS)^BANDS: 1.3e-7 at 0.8.
-BANDS, ROWS = 40, 5
-#: Shingles whose minima are taken at once, to bound memory.
-AT_ONCE = 1 << 12
+#: Segments of a wide fingerprint and bits of each that make a key; further words of it that candidates are held against.
+SEGMENTS, BITS, WORDS = 128, 14, 3
+#: Rows of a family that are compared in one task, all with all.
+HOT = 128
+#: Sets of fewer shingles aren't told apart by bits where the sets are at hand.
+SMALL = 64
 _RANDOM = np.random.default_rng(SEED)
-_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_WIDE = SEGMENTS // 4 + WORDS
+_TIMES = _RANDOM.integers(0, 1 << 63, _WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, _WIDE, dtype=np.uint64)
 
 
 def shingles(text: str, size: int = SIZE) -> np.ndarray:
@@ -165,15 +168,21 @@ def shingles(text: str, size: int = SIZE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in joined), dtype=np.uint64, count=len(words) - size + 1))
 
 
-def signature(found: np.ndarray) -> tuple[list[int], list[int]]:
-    """A signed key for each band, a hash of its number and of its rows' least values; and a bit of each least value, packed into four longs."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(found), AT_ONCE):
-        np.minimum(least, (found[at : at + AT_ONCE, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
-    bits = np.zeros(256, dtype=np.uint8)
-    bits[: BANDS * ROWS] = (least >> np.uint64(17)) & np.uint64(1)
-    return keys, np.packbits(bits).view("<i8").tolist()
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """A SimHash of 35 words: each bit is set where over half of the shingles have it set in hashes derived from theirs."""
+    votes = np.zeros(_WIDE * 64, dtype=np.int64)
+    for at in range(0, len(found), 255):  # so that counts fit a byte
+        h = (found[at : at + 255, None] ^ _PLUS) * _TIMES
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        votes += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(found), bitorder="little").view("<u8")
+
+
+def segments(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each segment, of its number and its bits, and the further words, signed."""
+    lanes = fp[: SEGMENTS // 4].view("<u2").astype(np.int32) & ((1 << BITS) - 1)
+    return lanes | (np.arange(SEGMENTS, dtype=np.int32) << BITS), fp[SEGMENTS // 4 :].view("<i8")
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -181,10 +190,103 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def bits_apart(least: float) -> int:
-    """Bits of two signatures that differ at most, but for a chance of 3e-7, where the sets have that similarity: each differs with a chance of half of what lacks."""
-    n, p = BANDS * ROWS, (1 - least) / 2
-    return int(n * p + 5 * (n * p * (1 - p)) ** 0.5)
+def bits_apart(least: float, n: int) -> int:
+    """Bits of ``n`` that differ at most, but for a chance of 1e-9, where sets of one size have that similarity."""
+    p = float(np.arccos(2 * least / (1 + least)) / np.pi)
+    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges reduced to one from each node to the smallest of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, of = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        now = of.copy()
+        low = np.minimum(of[a], of[b])
+        for x in (a, b):
+            np.minimum.at(now, x, low)
+            np.minimum.at(now, of[x], low)
+        now = now[now]
+        if (now == of).all():
+            return nodes[of != np.arange(len(nodes))], nodes[of[of != np.arange(len(nodes))]]
+        of = now
+
+
+class _Forest:
+    """Edges that are reduced whenever they are many."""
+
+    def __init__(self):
+        self.a, self.b, self.held = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += len(a)
+        if self.held > 1 << 20:
+            self.rest()
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, dtype=np.int64)
+        a, b = forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
+        self.a, self.b, self.held = [a], [b], 0
+        return a, b
+
+
+def near_in_buckets(key: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.ndarray, least: float, hot: int, found: _Forest) -> None:
+    """Edges that connect what is near in each run of one key: all pairs are compared, but in a run of over ``hot`` rows not those that are connected yet."""
+    most = bits_apart(least, 64 * WORDS)
+    bits = [x.view(np.uint64) for x in bits]  # of signed ones the bits of their absolute values would be counted
+
+    def near(i, j):
+        apart = sum(np.bitwise_count(bits[k][i] ^ bits[k][j]).astype(np.int16) for k in range(WORDS))
+        return (apart <= most) & (np.minimum(n[i], n[j]) >= (least - 1e-9) * np.maximum(n[i], n[j]))
+
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    for at, size in zip(starts[sizes > hot], sizes[sizes > hot], strict=True):
+        unseen, front = np.arange(at, at + size), []
+        while len(unseen):
+            if not front:
+                front, unseen = [unseen[0]], unseen[1:]
+            i = front.pop()
+            here = near(i, unseen)
+            if here.any():
+                front.extend(unseen[here])
+                found.add(np.full(here.sum(), node[i]), node[unseen[here]])
+                unseen = unseen[~here]
+    i, step = np.flatnonzero(np.repeat(sizes <= hot, sizes)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(key)]
+        i = i[key[i] == key[i + step]]
+        here = i[near(i, i + step)]
+        found.add(node[here], node[here + step])
+
+
+def near_in_sets(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of that Jaccard similarity that connect all there are, within one block or else between two. Pairs connected yet are passed over."""
+    fps, n = np.array([wide_fingerprint(x) for x in sets]), np.array([len(x) for x in sets])
+    apart = np.zeros((len(n), len(n)), dtype=np.int16)
+    for word in fps.T:
+        apart += np.bitwise_count(word[:, None] ^ word[None])
+    may = (apart <= bits_apart(least, 64 * _WIDE)) | (np.minimum(n[:, None], n) < SMALL)
+    may &= np.minimum(n[:, None], n) >= (least - 1e-9) * np.maximum(n[:, None], n)
+    if (block != block[0]).any():
+        may &= block[:, None] != block
+    i, j = np.nonzero(np.triu(may, 1))
+    of, links = list(range(len(n))), []
+
+    def root(x: int) -> int:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    for k in np.argsort(apart[i, j], kind="stable").tolist():
+        x, y = root(int(i[k])), root(int(j[k]))
+        if x != y and similarity(sets[i[k]], sets[j[k]]) >= least - 1e-12:
+            of[max(x, y)] = min(x, y)
+            links.append((nodes[i[k]], nodes[j[k]]))
+    return links
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -194,100 +296,98 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[Da
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = [shingles(text.as_py(), size) for text in batch.column(1)]
-            keys, bits = zip(*map(signature, sets), strict=True) if sets else ((), ())
+            keys, bits = zip(*(segments(wide_fingerprint(x)) for x in sets), strict=True) if sets else ((), ())
             nodes = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-            longs = pa.list_(pa.int64())
-            own = [pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(keys, longs), pa.array(bits, longs)]
+            own = [pa.array(nodes, pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(list(keys), pa.list_(pa.int32())), pa.array(list(bits), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *own], ["_id", "_of", "node", "n", "keys", "bits"])
 
-    longs = [StructField(c, LongType()) for c in ("_of", "node", "n")]
-    lists = [StructField(c, ArrayType(LongType())) for c in ("keys", "bits")]
-    marks = written(base.mapInArrow(mark, StructType([StructField("_id", docs.schema[id_col].dataType), *longs, *lists])), "near-marks")
+    fields = [StructField("_of", LongType()), StructField("node", LongType()), StructField("n", IntegerType()), StructField("keys", ArrayType(IntegerType())), StructField("bits", ArrayType(LongType()))]
+    marks = written(base.mapInArrow(mark, StructType([StructField("_id", docs.schema[id_col].dataType), *fields])), "near-marks")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "_of")).alias("first")
     classes = marks.groupBy("node").agg(first, F.min("_of").alias("_of"), F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("bits").alias("bits"))
     return marks.select("_id", "_of", "node"), written(classes, "near-classes")
 
 
-def _first_of_component(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, hot: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (_id, _of, node), and for each node the first row of its component."""
-    marks, classes = _classes(docs, id_col, text_col, size)
-    index = classes.select("node", "n", F.explode("keys").alias("key"))
-    sizes = written(index.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "near-sizes")
-    index = written(index.join(sizes, "key").join(classes.select("node", "bits"), "node"), "near-index")
-    of_node = classes.select("node", "_of")
-    most = bits_apart(least)
-    apart = lambda a, b: sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseXOR(F.get(f"{b}.bits", F.lit(k)))) for k in range(4)), F.lit(0))
-
-    def near(one: DataFrame, other: DataFrame, also) -> DataFrame:
-        """Pairs that share a key, of sizes and bits that can be so similar: a, b, and d, by how many bits they differ."""
-        sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(least - 1e-9)
-        joined = one.alias("a").join(other.alias("b"), (F.col("a.key") == F.col("b.key")) & also & sized & (apart("a", "b") <= most))
-        return joined.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), apart("a", "b").alias("d")).distinct()
-
-    def nearest(pairs: DataFrame, k: int = 3) -> DataFrame:
-        """The ``k`` pairs of each a that differ least."""
-        found = pairs.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("x"))
-        return found.select("a", F.explode("x").alias("x")).select("a", "x.b", "x.d")
-
-    def centres(rows: DataFrame, k: int) -> DataFrame:
-        """At most ``k`` of each key's rows, chosen by a hash that differs from key to key."""
-        row = F.struct(F.xxhash64("node", "key").alias("h"), "node", "n", "bits", "c")
-        return rows.groupBy("key", F.pmod(F.xxhash64("key", "node", F.lit(k)), F.lit(k))).agg(F.min(row).alias("x")).select("key", "x.node", "x.n", "x.bits", "x.c")
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _families(classes: DataFrame, least: float, hot: int) -> DataFrame:
+    """(node, component): nodes connected by segments that are equal and further words that differ in few bits."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = _Forest(), None
+        for batch in batches:
+            now = [np.asarray(batch.column(k)) for k in range(3 + WORDS)]
+            held = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last key may go on
+            if cut:
+                near_in_buckets(*(x[:cut] for x in held[:3]), [x[:cut] for x in held[3:]], least, 8 * hot, found)
+                held = [x[cut:] for x in held]
+        if held and len(held[0]):
+            near_in_buckets(*held[:3], held[3:], least, 8 * hot, found)
+        yield _edges(*found.rest())
+
+    index = classes.select(F.explode("keys").alias("key"), "node", "n", *(F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(WORDS)))
+    edges = index.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
+    return written(components(written(edges, "near-edges"), "near-families"), "near-family")
+
+
+def _linked(docs: DataFrame, text_col: str, size: int, classes: DataFrame, families: DataFrame, least: float, hot: int, filter_bits: int) -> DataFrame:
+    """(a, b): verified links that connect what is similar in each family. The sets of a family's nodes are made again from their texts and meet block by block."""
 
     def texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), size).tobytes() for x in batch.column(1)], pa.binary())], ["_of", "found"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(rows: list) -> list[tuple[int, int]]:
+            return near_in_sets([r[1] for r in rows], [np.frombuffer(r[3], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows]), least) if len(rows) > 1 else []
+
+        here, rows, found = None, [], []
         for batch in batches:
-            sets = ((np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True))
-            yield batch.select(["a", "b"]).filter(pa.array([similarity(x, y) >= least - 1e-12 for x, y in sets], pa.bool_()))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are as similar. The sets are made again from the texts of these nodes only."""
-        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-candidates")
-        needed = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(of_node, "node").select("node", "_of"), "near-needed")
-        asked = KeyFilter(needed.select("_of"), filter_bits)
-        base = docs.select(F.xxhash64(column_or_empty(text_col)).alias("_of"), column_or_empty(text_col).alias("_text"))
-        texts = asked.mark(base, "_asked", F.col("_of")).where("_asked").select("_of", "_text").mapInArrow(texts_to_sets, "_of long, found binary")
-        sets = written(texts.groupBy("_of").agg(F.first("found").alias("found")), "near-texts")
-        sets = written(needed.join(sets, "_of").select("node", "found"), "near-sets")
-        both = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b").select("a", "b", "left", "right")
-        return written(both.mapInArrow(compare, "a long, b long"), "near-links")
-
-    cool, warm = index.where(F.col("m") <= hot), index.where(F.col("m") > hot).withColumn("c", F.col("node"))
-    stars = nearest(near(warm, centres(warm, 1), F.col("a.node") != F.col("b.node")))
-    links = verified(near(cool, cool, F.col("a.node") < F.col("b.node")).union(stars))
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (row[0], row[4], row[5]) != here:
+                    found += links(rows)
+                    here, rows = (row[0], row[4], row[5]), []
+                rows.append(row)
+            yield _edges(*zip(*found, strict=True)) if found else _edges((), ())
+            found = []
+        found = links(rows)
+        yield _edges(*zip(*found, strict=True)) if found else _edges((), ())
+
+    blocks = written(families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / hot).cast("int").alias("k")), "near-blocks")
+    members = classes.select("node", "_of").join(families, "node")
+    members = written(written(members, "near-members").join(blocks, "component").select("_of", "node", F.col("component").alias("family"), "k", F.pmod(F.xxhash64("node"), "k").cast("int").alias("block")), "near-placed")
+    asked = KeyFilter(members.select("_of"), filter_bits)
+    base = docs.select(F.xxhash64(column_or_empty(text_col)).alias("_of"), column_or_empty(text_col).alias("_text"))
+    texts = asked.mark(base, "_asked", F.col("_of")).where("_asked").select("_of", "_text").mapInArrow(texts_to_sets, "_of long, found binary")
+    sets = written(texts.groupBy("_of").agg(F.first("found").alias("found")), "near-texts")
+    dealt = members.join(sets, "_of").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("family", "node", "block", "found", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return written(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a long, b long"), "near-links")
+
+
+def _first_of_component(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, hot: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _of, node), and for each node the first row of its component."""
+    marks, classes = _classes(docs, id_col, text_col, size)
+    links = _linked(docs, text_col, size, classes, _families(classes, least, hot), least, hot, filter_bits)
     nodes = written(components(links, "near-components"), "near-of-node")
-    for k in (8, 0) if not warm.isEmpty() else ():
-        placed = warm.drop("c").join(nodes, "node", "left").select("key", "node", "n", "bits", F.coalesce("component", "node").alias("c"))
-        placed = written(placed, "near-placed")
-        base = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("base"), F.count(F.lit(1)).alias("cs"))
-        base = written(base.where("cs > 1").select("key", "base"), "near-base")  # keys whose rows aren't all of one component yet
-        if base.isEmpty():
-            break
-        split = written(placed.join(base, "key"), "near-split")
-        left = split.where("c <> base")
-        other = near(left, centres(split.where("c = base"), k) if k else split, F.col("a.c") != F.col("b.c"))
-        links = links.union(verified(nearest(other) if k else other))
-        nodes = written(components(links, "near-components"), "near-of-node")
     of_class = written(classes.join(nodes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near-of-class")
     firsts = written(of_class.groupBy("component").agg(F.min("first").alias("first")), "near-firsts")
     return marks, written(of_class.select("node", "component").join(firsts, "component").select("node", "first"), "near-linked")
 
 
-def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = 64, filter_bits: int = MOST_SLOTS) -> DataFrame:
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = HOT, filter_bits: int = MOST_SLOTS) -> DataFrame:
     """id_col and component_id (smallest id reachable over links of texts whose shingles have a Jaccard similarity of ``least`` or more) for each row of ``docs``.
 
-    Rows with one set of shingles fall together first. Sets that share a band's
-    key are candidates, if their sizes and the bits of their signatures allow that similarity; the sets themselves, of candidates only, verify each
-    pair, so no link is wrong, and one of similarity 0.8 is missed with a chance
-    of 4e-7. In a band's bucket of over ``hot`` sets, which many near copies of
-    one text make, each set is compared with the few it differs least from among one centre of
-    each of its buckets. Sets that aren't in their bucket's largest component then are compared
-    with eight centres of that, and those that still aren't with the whole bucket, so that no
-    component is cut and pairs inside one aren't listed. What is aggregated by a key is written
-    before rows are joined to it, so that adaptive execution can split a hot key.
+    Rows with one set of shingles fall together first. Sets get a SimHash of 2,240 bits. At 0.8 some 15 in
+    100 bits differ, and 14 bits of a segment are equal with a chance of 0.1, so one of 128 segments is, but for a
+    chance of 1.3e-6 (8e-4 where a set of four shingles lies in one of five, which differ most). Sets with an equal segment are held against further words;
+    those that differ in few bits are connected to families, of which only a spanning forest is listed.
+    Inside a family the sets themselves verify each pair that isn't connected yet, so no link is wrong and a pair in one family
+    needs no segment of its own. Families of over ``hot`` sets are dealt as pairs of blocks. In a bucket of over eight
+    times ``hot`` sets the search goes from set to set, past those already reached. Pairs are never rows.
 
     Null texts count as empty; texts without words are alike. Repeated rows are
     kept. A null id is never the smallest; a component of null ids alone has a null
@@ -297,7 +397,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marks.join(linked, "node").select(F.col("_id").alias(id_col), F.col("first.id").alias("component_id"))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = 64, filter_bits: int = MOST_SLOTS) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, least: float = LEAST, hot: int = HOT, filter_bits: int = MOST_SLOTS) -> DataFrame:
     """One row of each component of ``similar_copies``, with all columns of ``docs``: that with the smallest id, null ids counting as largest, of rows with that same id the one whose text has the least hash, and of rows alike in both any one.
 
     Rows that go, and rows alike in id and text, are flagged by a bitmap; only flagged rows are shuffled

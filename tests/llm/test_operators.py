@@ -681,3 +681,34 @@ def test_near_copies_odd_rows(spark):
     got = simhash.similar_copies(documents(spark, ODD)).toPandas()
     assert len(got) == len(ODD) and set(got[got.doc_id.isin([2, 3])].component_id) == {2} and set(got[got.doc_id.isna()].component_id) == {1}
     assert simhash.similar_copies(documents(spark, [])).count() == 0
+
+
+def test_near_copies_come_from_simhash_segments():
+    text = " ".join(f"w{k}" for k in range(40))
+    sets = [simhash.shingles(t) for t in (text, text.replace("w39", "x"), " ".join(f"z{k}" for k in range(40)))]
+    fps = [simhash.wide_fingerprint(x) for x in sets]
+    with np.errstate(over="ignore"):
+        for x, fp in zip(sets, fps, strict=True):  # by single bits
+            for w in range(len(fp)):
+                votes = [0] * 64
+                for s in x:
+                    h = (s ^ simhash._PLUS[w]) * simhash._TIMES[w]
+                    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(29)
+                    votes = [v + (int(h) >> k & 1) for k, v in enumerate(votes)]
+                assert int(fp[w]) == sum((2 * v > len(x)) << k for k, v in enumerate(votes))
+    keys = [set(simhash.segments(fp)[0].tolist()) for fp in fps]
+    assert keys[0] & keys[1] and len(keys[0]) == simhash.SEGMENTS
+    rows = sorted((k, node) for node, own in enumerate(keys) for k in own)
+    key, node = (np.array(x) for x in zip(*rows, strict=True))
+    bits = [np.array([simhash.segments(fp)[1][w] for fp in fps])[node] for w in range(simhash.WORDS)]
+    for hot in (1, 100):
+        found = simhash._Forest()
+        simhash.near_in_buckets(key, node, np.array([len(x) for x in sets])[node], bits, 0.8, hot, found)
+        assert [x.tolist() for x in found.rest()] == [[1], [0]]
+    most = simhash.bits_apart(0.8, 64 * simhash.WORDS)
+    for apart in (most, most + 1):  # of signed words too
+        bits = [np.array([-1, -1 ^ ((1 << min(apart, 60)) - 1)]), np.array([0, (1 << max(0, apart - 60)) - 1]), np.array([5, 5])]
+        found = simhash._Forest()
+        simhash.near_in_buckets(np.array([7, 7]), np.array([0, 1]), np.array([9, 9]), bits, 0.8, 100, found)
+        assert len(found.rest()[0]) == (apart <= most)
