@@ -712,3 +712,24 @@ def test_near_copies_come_from_simhash_segments():
         found = simhash._Forest()
         simhash.near_in_buckets(np.array([7, 7]), np.array([0, 1]), np.array([9, 9]), bits, 0.8, 100, found)
         assert len(found.rest()[0]) == (apart <= most)
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base, rows, sizes = rng.integers(0, 10**6, 100), [], {}
+    for k in range(600):  # each near the base or a little farther, many pairs of them just short of 0.8
+        own = [f"w{x}" for x in base]
+        for at in rng.integers(0, 100, int(rng.integers(1, 5))):
+            own[at] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(own)))
+
+    def counted(df, name):
+        out = common.written(df, name)
+        if {"a", "b"} <= set(out.columns):
+            sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    got = simhash.similar_copies(documents(spark, rows), hot=64).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_near(rows)
+    assert sizes and max(sizes.values()) < 10 * len(rows)  # 179,700 pairs
