@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import MOST_SLOTS, KeyFilter, column_or_empty, slices, written
@@ -47,6 +47,30 @@ def chunks(lines: list[str], span: int = SPAN, mean: int = MEAN, long: int = LON
             yield i, 1, _mix(h ^ long) - (1 << 63)
 
 
+def digest(unit: str) -> Column:
+    """With a chunk's key, what stands for its bytes wherever no other bytes have the same two."""
+    return F.xxhash64(unit)
+
+
+def _repeats(held: DataFrame) -> DataFrame:
+    """id, of and line of each line of ``held`` that lies in a chunk which also stands at a smaller place.
+
+    The bytes are shuffled once, to be grouped. Rows are then joined to their group by key and digest;
+    where groups of different bytes agree in both, which the groups themselves tell, by the bytes.
+    """
+    least = [F.min(F.struct("id", "of", "at")).alias("first"), F.count(F.lit(1)).alias("n")]
+    groups = written(held.groupBy("h", "unit").agg(*least).select("h", digest("unit").alias("d"), "first", "n"), "line-groups")
+    known = written(groups.groupBy("h", "d").agg(F.count(F.lit(1)).alias("units"), F.min("first").alias("first"), F.max("n").alias("n")).where("n > 1"), "line-stays")  # so that the join deals rows anew and can split a common passage
+    rows = held.withColumn("d", digest("unit"))
+    going = rows.drop("unit").join(known.where("units = 1").drop("units", "n"), ["h", "d"]).drop("h", "d")
+    if not (clash := known.where("units > 1").select("h", "d")).isEmpty():
+        alike = written(rows.join(clash, ["h", "d"]).select(*held.columns), "line-clashes")
+        stays = written(alike.groupBy("h", "unit").agg(*least).where("n > 1").drop("n"), "line-clash-stays")
+        going = going.unionByName(alike.join(stays, ["h", "unit"]).drop("h", "unit"))
+    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("at") < F.col("first.at") + F.col("size"))
+    return going.where(~overlaps).select("id", "of", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("line"))
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, mean: int = MEAN, long: int = LONG, filter_bits: int = MOST_SLOTS) -> DataFrame:
     """id_col, text (without repeated chunks), n_lines, removed_chunks (runs of lines that went) and removed_lines for each row of ``docs``.
 
@@ -62,7 +86,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the second pass as a bitmap sized by their number, or by an equality join beyond it. That pass sends the candidates'
     text, and the bytes themselves are the key of the groups. Groups are
     aggregated before the shuffle and written, and their members are joined to the one
-    that stays, so that a common chunk is split over tasks. Only rows that lose a line are shuffled with their text.
+    that stays, without their bytes, so that a common chunk is split over tasks. Only rows that lose a line are shuffled with their text.
 
     Null texts count as empty, with one empty line. Null ids count as smallest. Rows alike in both id and text count as one and keep or lose
     the same lines. An empty table gives an empty result; further columns are ignored.
@@ -100,10 +124,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if repeated.keys is not None:  # too many for a bitmap
         held = repeated.mark(held, "again", F.col("h")).where("again").drop("again")
     held = written(held, "line-chunks")
-    stays = held.groupBy("h", "unit").agg(F.min(F.struct("id", "of", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stays = written(stays, "line-stays")  # so that the join deals rows anew and can split a common passage
-    overlaps = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of")) & (F.col("at") < F.col("first.at") + F.col("size"))
-    going = held.join(stays, ["h", "unit"]).where(~overlaps).select("id", "of", F.explode(F.sequence("at", F.col("at") + F.col("size") - 1)).alias("line"))
+    going = _repeats(held)
     going = written(going.groupBy("id", "of").agg(F.collect_set("line").alias("gone")), "line-gone")
     touched = KeyFilter(going.select(F.xxhash64("id", "of").alias("k")), filter_bits)
     flagged = touched.mark(marked, "_touched", F.xxhash64("id", "of"))

@@ -461,6 +461,23 @@ def test_op9_removes_planted_passages_whole(spark):
     assert dict(zip(got.doc_id, got.text, strict=True)) == want
 
 
+@pytest.mark.parametrize("clash", [False, True])
+def test_op9_joins_chunks_without_their_bytes_and_tells_those_that_clash(spark, monkeypatch, clash):
+    rng = np.random.default_rng(9)
+    pool = [" ".join(f"w{x}" for x in rng.integers(0, 99, 8)) for _ in range(12)]
+    docs = documents(spark, [(k, "\n".join(pool[x] for x in rng.integers(0, 12, int(rng.integers(1, 6))))) for k in range(60)])
+    columns = ["doc_id", "text", "n_lines", "removed_chunks", "removed_lines"]
+    want = sorted(map(tuple, line_dedup.line_dedup(docs).select(columns).collect()))
+    wide, chunks = [], line_dedup.chunks
+    if clash:
+        monkeypatch.setattr(line_dedup, "digest", lambda unit: F.lit(0).cast("long"))
+        monkeypatch.setattr(line_dedup, "chunks", lambda *a: ((at, size, key % 5) for at, size, key in chunks(*a)))
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: wide.append((name, df.columns)) or common.written(df, name))
+    assert sorted(map(tuple, line_dedup.line_dedup(docs).select(columns).collect())) == want and sum(r[4] for r in want) > 20
+    if not clash:
+        assert [name for name, held in wide if "unit" in held] == ["line-chunks"]
+
+
 def test_op9_passages_of_odd_rows(spark):
     got = line_dedup.line_dedup(documents(spark, ODD)).toPandas()
     assert len(got) == len(ODD) and got[got.doc_id == 6].text.tolist() == ["line\nline\n"] and got[got.doc_id == 4].n_lines.tolist() == [1]
