@@ -264,7 +264,7 @@ def near_in_buckets(key: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.n
 
 
 def near_in_sets(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of that Jaccard similarity that connect all there are, within one block or else between two. Pairs connected yet are passed over."""
+    """Pairs of that Jaccard similarity that connect all there are, within one block or else between two. Pairs connected yet are passed over, and of larger sets those whose fingerprints differ in too many bits."""
     fps, n = np.array([wide_fingerprint(x) for x in sets]), np.array([len(x) for x in sets])
     apart = np.zeros((len(n), len(n)), dtype=np.int16)
     for word in fps.T:
