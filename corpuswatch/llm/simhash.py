@@ -153,6 +153,8 @@ SEGMENTS, BITS, WORDS = 128, 14, 3
 HOT = 128
 #: Sets of fewer shingles aren't told apart by bits where the sets are at hand.
 SMALL = 64
+#: Edges that a task reduces to a forest at once.
+MOST_EDGES = 1 << 20
 _RANDOM = np.random.default_rng(SEED)
 _WIDE = SEGMENTS // 4 + WORDS
 _TIMES = _RANDOM.integers(0, 1 << 63, _WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,19 +218,19 @@ class _Forest:
     """Edges that are reduced whenever they are many."""
 
     def __init__(self):
-        self.a, self.b, self.held = [], [], 0
+        self.a, self.b, self.held, self.most = [], [], 0, MOST_EDGES
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.a.append(a)
         self.b.append(b)
         self.held += len(a)
-        if self.held > 1 << 20:
-            self.rest()
+        if self.held > self.most:
+            self.most = max(MOST_EDGES, 2 * len(self.rest()[0]))
 
     def rest(self) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, dtype=np.int64)
         a, b = forest(np.concatenate([none, *self.a]), np.concatenate([none, *self.b]))
-        self.a, self.b, self.held = [a], [b], 0
+        self.a, self.b, self.held = [a], [b], len(a)
         return a, b
 
 
@@ -263,8 +265,8 @@ def near_in_buckets(key: np.ndarray, node: np.ndarray, n: np.ndarray, bits: np.n
         found.add(node[here], node[here + step])
 
 
-def near_in_sets(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Pairs of that Jaccard similarity that connect all there are, within one block or else between two. Pairs connected yet are passed over, and of larger sets those whose fingerprints differ in too many bits."""
+def near_in_sets(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, known: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of that Jaccard similarity that connect all there are, within one block or else between two. Pairs connected yet, those of one ``known`` component among them, are passed over, and of larger sets those whose fingerprints differ in too many bits."""
     fps, n = np.array([wide_fingerprint(x) for x in sets]), np.array([len(x) for x in sets])
     apart = np.zeros((len(n), len(n)), dtype=np.int16)
     for word in fps.T:
@@ -273,8 +275,10 @@ def near_in_sets(nodes: list[int], sets: list[np.ndarray], block: np.ndarray, le
     may &= np.minimum(n[:, None], n) >= (least - 1e-9) * np.maximum(n[:, None], n)
     if (block != block[0]).any():
         may &= block[:, None] != block
+    first, at = np.unique(known, return_index=True, return_inverse=True)[1:]
+    may &= at[:, None] != at
     i, j = np.nonzero(np.triu(may, 1))
-    of, links = list(range(len(n))), []
+    of, links = first[at].tolist(), []
 
     def root(x: int) -> int:
         while of[x] != x:
@@ -312,6 +316,18 @@ def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _reduced(edges: DataFrame) -> DataFrame:
+    """(a, b): edges with the components of ``edges``, a written table. Forests that tasks have made apart name a node once a task; few tasks, of some ``MOST_EDGES`` edges each, make them one."""
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Forest()
+        for batch in batches:
+            found.add(np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+        yield _edges(*found.rest())
+
+    return edges.select("a", "b").coalesce(-(-edges.count() // MOST_EDGES) or 1).mapInArrow(reduce, "a long, b long")
+
+
 def _families(classes: DataFrame, least: float, hot: int) -> DataFrame:
     """(node, component): nodes connected by segments that are equal and further words that differ in few bits."""
 
@@ -330,11 +346,16 @@ def _families(classes: DataFrame, least: float, hot: int) -> DataFrame:
 
     index = classes.select(F.explode("keys").alias("key"), "node", "n", *(F.get("bits", F.lit(k)).alias(f"w{k}") for k in range(WORDS)))
     edges = index.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long")
-    return written(components(written(edges, "near-edges"), "near-families"), "near-family")
+    return written(components(_reduced(written(edges, "near-edges")), "near-families"), "near-family")
 
 
 def _linked(docs: DataFrame, text_col: str, size: int, classes: DataFrame, families: DataFrame, least: float, hot: int, filter_bits: int) -> DataFrame:
-    """(a, b): verified links that connect what is similar in each family. The sets of a family's nodes are made again from their texts and meet block by block."""
+    """(a, b): verified links that connect what is similar in each family. The sets of a family's nodes are made again from their texts and meet block by block.
+
+    First sets meet those of their own block and of the family's first, so that what has links to many others is connected by
+    rows in proportion to the family. Then those outside its largest component yet meet all others, and links between two
+    components count once.
+    """
 
     def texts_to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -342,7 +363,7 @@ def _linked(docs: DataFrame, text_col: str, size: int, classes: DataFrame, famil
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(rows: list) -> list[tuple[int, int]]:
-            return near_in_sets([r[1] for r in rows], [np.frombuffer(r[3], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows]), least) if len(rows) > 1 else []
+            return near_in_sets([r[6] for r in rows], [np.frombuffer(r[3], dtype=np.uint64) for r in rows], np.array([r[2] for r in rows]), np.array([r[6] for r in rows]), least) if len(rows) > 1 else []
 
         here, rows, found = None, [], []
         for batch in batches:
@@ -363,16 +384,35 @@ def _linked(docs: DataFrame, text_col: str, size: int, classes: DataFrame, famil
     base = docs.select(F.xxhash64(column_or_empty(text_col)).alias("_of"), column_or_empty(text_col).alias("_text"))
     texts = asked.mark(base, "_asked", F.col("_of")).where("_asked").select("_of", "_text").mapInArrow(texts_to_sets, "_of long, found binary")
     sets = written(texts.groupBy("_of").agg(F.first("found").alias("found")), "near-texts")
-    dealt = members.join(sets, "_of").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("family", "node", "block", "found", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return written(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a long, b long"), "near-links")
+
+    def met(placed: DataFrame, name: str) -> DataFrame:
+        """Links of (_of, family, node, block, known, i, j): rows with the same i and j meet."""
+        dealt = placed.join(sets, "_of").select("family", "node", "block", "found", "i", "j", "known")
+        return written(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(compare, "a long, b long"), name)
+
+    at = F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array("block")))
+    first = members.withColumn("i", at).withColumns({"j": F.col("i"), "block": F.lit(0), "known": F.col("node")})
+    within = met(first, "near-within")
+    large = members.where("k > 1").select("_of", "node", "family")
+    if large.isEmpty():
+        return within
+    yet = written(components(_reduced(within), "near-yet"), "near-yet")
+    large = written(large.join(yet, "node", "left").select("_of", "node", "family", F.coalesce("component", "node").alias("known")), "near-large")
+    sizes = large.groupBy("family", "known").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max(F.struct("n", "known")).alias("main"), F.sum("n").alias("all"))
+    rest = F.col("all") - F.col("main.n")
+    sizes = sizes.where(rest > 0).select("family", F.col("main.known").alias("main"), *(F.ceil(n / hot).cast("int").alias(k) for k, n in (("k", F.col("main.n")), ("r", rest))))
+    placed = large.join(written(sizes, "near-rest"), "family").withColumn("of_main", F.col("known") == F.col("main"))
+    placed = placed.withColumn("block", F.when(F.col("of_main"), F.pmod(F.xxhash64("node"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("node"), "r")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("of_main"), F.col("k")).otherwise(0), F.col("k") + F.col("r") - 1)))
+    across = met(placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}), "near-across")
+    return written(yet.where("node <> component").toDF("a", "b").union(across.distinct()), "near-links")
 
 
 def _first_of_component(docs: DataFrame, id_col: str, text_col: str, size: int, least: float, hot: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
     """Rows (_id, _of, node), and for each node the first row of its component."""
     marks, classes = _classes(docs, id_col, text_col, size)
     links = _linked(docs, text_col, size, classes, _families(classes, least, hot), least, hot, filter_bits)
-    nodes = written(components(links, "near-components"), "near-of-node")
+    nodes = written(components(_reduced(links), "near-components"), "near-of-node")
     of_class = written(classes.join(nodes, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "near-of-class")
     firsts = written(of_class.groupBy("component").agg(F.min("first").alias("first")), "near-firsts")
     return marks, written(of_class.select("node", "component").join(firsts, "component").select("node", "first"), "near-linked")
@@ -386,7 +426,8 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     chance of 1.3e-6 (8e-4 where a set of four shingles lies in one of five, which differ most). Sets with an equal segment are held against further words;
     those that differ in few bits are connected to families, of which only a spanning forest is listed.
     Inside a family the sets themselves verify each pair that isn't connected yet, so no link is wrong and a pair in one family
-    needs no segment of its own. Families of over ``hot`` sets are dealt as pairs of blocks. In a bucket of over eight
+    needs no segment of its own. Families of over ``hot`` sets are dealt as blocks: each set meets its own and the first
+    block, and what isn't in the largest component then meets all other blocks. In a bucket of over eight
     times ``hot`` sets the search goes from set to set, past those already reached. Pairs are never rows.
 
     Null texts count as empty; texts without words are alike. Repeated rows are

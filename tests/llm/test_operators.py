@@ -750,3 +750,47 @@ def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
     got = simhash.similar_copies(documents(spark, rows), hot=64).toPandas()
     assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_near(rows)
     assert sizes and max(sizes.values()) < 10 * len(rows)  # 179,700 pairs
+
+
+@pytest.mark.parametrize("n", [300, 900])
+def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch, n):
+    rng = np.random.default_rng(8)
+    base, rows, sizes, write = rng.integers(0, 10**6, 100), [], {}, common.written
+    for k in range(n):  # those with one other word are one component, most others of the family are alone
+        own = [f"w{x}" for x in base]
+        for at in rng.integers(0, 100, 1 if k % 10 else 4):
+            own[at] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(own)))
+
+    def counted(df, name):
+        out = write(df, name)
+        if {"a", "b"} <= set(out.columns):
+            sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    monkeypatch.setattr(common, "written", counted)
+    got = simhash.similar_copies(documents(spark, rows), hot=16).toPandas()
+    assert dict(zip(got.doc_id, got.component_id, strict=True)) == brute_near(rows)
+    edges = {name: x for name, x in sizes.items() if name.startswith(("near-families", "near-components"))}  # what rounds join
+    assert len(edges) >= 2 and max(edges.values()) < n
+    assert sizes["near-links"] < 2 * n
+
+
+def test_known_components_are_passed_over():
+    sets = [simhash.shingles(" ".join(f"w{k}" for k in range(60 + x))) for x in range(4)]
+    block, alone = np.zeros(4, dtype=int), np.arange(4)
+    assert len(simhash.near_in_sets([5, 6, 7, 8], sets, block, alone, 0.8)) == 3
+    assert simhash.near_in_sets([5, 6, 7, 8], sets, block, np.array([5, 5, 5, 5]), 0.8) == []
+    link, = simhash.near_in_sets([5, 6, 7, 8], sets, np.array([0, 0, 1, 1]), np.array([5, 5, 7, 7]), 0.8)
+    assert link[0] in (5, 6) and link[1] in (7, 8)
+
+
+def test_edges_of_many_tasks_are_reduced_to_a_forest(spark, monkeypatch):
+    edges = spark.range(4000).select((F.col("id") % 500 + 1).alias("a"), (F.col("id") % 7 % (F.col("id") % 500 + 1)).alias("b")).repartition(8)
+    edges = common.written(edges, "test-edges")
+    assert simhash._reduced(edges).count() == 500
+    assert simhash._reduced(edges.limit(0)).count() == 0
+    monkeypatch.setattr(simhash, "MOST_EDGES", 600)
+    got = {r[0]: r[1] for r in common.components(simhash._reduced(edges)).collect()}
+    assert got == dict.fromkeys(range(501), 0)
